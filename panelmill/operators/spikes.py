@@ -13,34 +13,36 @@ from pyspark.sql import types as T
 MAD = 1.4826
 
 
-def robust_components(x: np.ndarray, seen: np.ndarray, floor: float, rounds: int = 12) -> np.ndarray:
+def robust_components(x: np.ndarray, seen: np.ndarray, floor: float, rounds: int = 8) -> np.ndarray:
     """Split each matrix of a stack x (sources, rows, columns) into low rank plus sparse; return where it is sparse.
 
-    Alternating projections: a rank-one fit of what is left after the sparse part, then everything beyond a
-    threshold that falls from the largest residual to 2.5 robust deviations goes into the sparse part. Entries
-    not seen take the fitted value. A constant matrix is rank one with an empty sparse part.
+    Alternating projections: a rank-one fit of what is left after the sparse part, then everything beyond 2.5
+    robust deviations of the residuals goes into the sparse part. Entries not seen and sparse entries take the
+    fitted value. The start is each row's median as a constant profile: from an unguarded least-squares start a
+    lone spike in a flat matrix would itself be the first component. A constant matrix is rank one with an
+    empty sparse part.
     """
     n, rows, cols = x.shape
     v = np.full((n, cols, 1), 1 / np.sqrt(cols))
-    sparse = np.zeros_like(seen)
-    low = np.zeros_like(x)
     count = np.maximum(seen.sum((1, 2)), 1)
+    per_row = np.sort(np.where(seen, x, np.inf), axis=2)
+    mid = np.take_along_axis(per_row, np.maximum(seen.sum(2, keepdims=True) - 1, 0) // 2, axis=2)
+    low = np.broadcast_to(np.where(np.isfinite(mid), mid, 0.0), x.shape)
+    sparse = np.zeros_like(seen)
     for k in range(rounds):
-        m = np.where(seen & ~sparse, x, low)
-        for _ in range(2):
-            u = m @ v
-            v = m.transpose(0, 2, 1) @ u
-            size = np.linalg.norm(v, axis=1, keepdims=True)
-            v = np.where(size > 1e-12, v / np.maximum(size, 1e-12), 1 / np.sqrt(cols))
-        low = (m @ v) @ v.transpose(0, 2, 1)
+        if k:
+            m = np.where(seen & ~sparse, x, low)
+            for _ in range(2):
+                u = m @ v
+                v = m.transpose(0, 2, 1) @ u
+                size = np.linalg.norm(v, axis=1, keepdims=True)
+                v = np.where(size > 1e-12, v / np.maximum(size, 1e-12), 1 / np.sqrt(cols))
+            low = (m @ v) @ v.transpose(0, 2, 1)
         res = np.abs(np.where(seen, x - low, 0.0))
         flat = np.sort(np.where(seen, res, np.inf).reshape(n, -1), axis=1)
         med = flat[np.arange(n), np.minimum(count // 2, rows * cols - 1)]
         med = np.where(np.isfinite(med), med, 0.0)
-        at_last = np.maximum(2.5 * MAD * med, floor)
-        top = res.max((1, 2))
-        tau = np.maximum(at_last, top * 0.5 ** (k + 1))
-        sparse = res > tau[:, None, None]
+        sparse = res > np.maximum(2.5 * MAD * med, floor)[:, None, None]
     return sparse
 
 
