@@ -8,8 +8,9 @@ from pyspark.sql.window import Window as W
 
 from panelmill.session import written
 
-#: A spike in a length histogram: at least so many texts, so many times the mean of the lengths around it.
-LEAST_AT_LIMIT, TIMES_AROUND, AROUND = 5, 12.0, 50
+#: A spike in a length histogram: at least so many texts, so many times the mean of the lengths around it, and so
+#: many deviations above that mean.
+LEAST_AT_LIMIT, TIMES_AROUND, DEVIATIONS, AROUND = 5, 12.0, 8.0, 50
 #: A last line is an appended trailer if it recurs in so many texts and in this share of its source, or of all texts.
 LEAST_TRAILERS, TRAILER_SHARE, TRAILER_SHARE_ALL, TRAILER_LENGTH = 3, 0.02, 0.001, 80
 #: Up to this many sources the per-source findings are broadcast (200 short lines each at most).
@@ -23,6 +24,10 @@ def _count(c: Column, what: str) -> Column:
     return F.octet_length(c) - F.octet_length(F.replace(c, F.lit(what)))
 
 
+def _trim_end(c: Column) -> Column:
+    return F.rtrim(c, F.lit(" \n\r\t\f\x0b"))
+
+
 def length_metrics(text: str) -> dict[str, Column]:
     """Length of the text as it is and as it would be stored under other encodings, escapings and line ends."""
     t = F.col(text)
@@ -64,50 +69,60 @@ def text_features(docs: DataFrame, key: str, text: str, source: str) -> DataFram
     """Per text: its lengths under all metrics and its ending, line ends as \\n and trailing white space removed."""
     m = length_metrics("_text")
     base = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    end = F.regexp_replace(F.replace(F.expr(f"right(_text, {ENDING})"), F.lit("\r\n"), F.lit("\n")), r"\s+$", "")
-    return base.select("_k", "_s", F.array(*[m[x].cast("int") for x in METRICS]).alias("_len"), end.alias("_end"))
+    end = _trim_end(F.replace(F.expr(f"right(_text, {ENDING})"), F.lit("\r\n"), F.lit("\n")))
+    return base.select("_k", "_s", F.xxhash64("_text").alias("_h"), F.array(*[m[x].cast("int") for x in METRICS]).alias("_len"), end.alias("_end"))
+
+
+def _stands_out(n: Column, mean: Column) -> Column:
+    return (n >= LEAST_AT_LIMIT) & (n >= TIMES_AROUND * mean) & (n >= mean + DEVIATIONS * F.sqrt(mean + F.lit(0.3)))
 
 
 def storage_limits(features: DataFrame) -> DataFrame:
     """(source, metric, length, texts): lengths at which a source's texts pile up under the metric that shows it best.
 
-    Lengths are counted per (source, metric); a spike stands out from the counts around it. A text that lies on
+    Lengths are counted per (source, metric), copies of one text once; a spike stands out from the counts around it. A text that lies on
     spikes of several metrics counts for the largest alone, and a spike must stand out by these texts again, so
     an escaping that merely follows another limit drops out. The histogram is aggregated partially; its size is
     bounded by the lengths that occur.
     """
-    one = features.where(F.element_at("_len", 1) > 0).select("_k", "_s", F.posexplode("_len").alias("_m", "_l"))
+    once = features.where(F.element_at("_len", 1) > 0).dropDuplicates(["_s", "_h"])
+    one = once.select("_k", "_s", F.posexplode("_len").alias("_m", "_l"))
     hist = one.groupBy("_s", "_m", "_l").agg(F.count("*").alias("_n"))
     w = W.partitionBy("_s", "_m").orderBy("_l").rangeBetween(-AROUND, AROUND)
     around = (F.sum("_n").over(w) - F.col("_n")) / F.lit(2.0 * AROUND)
-    spikes = hist.withColumn("_mean", around).where((F.col("_n") >= LEAST_AT_LIMIT) & (F.col("_n") >= TIMES_AROUND * F.greatest("_mean", F.lit(0.1))))
+    spikes = hist.withColumn("_mean", around).where(_stands_out(F.col("_n"), F.col("_mean")))
     on = one.join(spikes, ["_s", "_m", "_l"])
     best = on.groupBy("_k").agg(F.max(F.struct("_n", -F.col("_m"), "_s", "_m", "_l", "_mean")).alias("_b"))
     names = F.array(*[F.lit(x) for x in METRICS])
     return (
         best.groupBy("_b._s", "_b._m", "_b._l")
         .agg(F.count("*").alias("texts"), F.max("_b._mean").alias("_mean"))
-        .where((F.col("texts") >= LEAST_AT_LIMIT) & (F.col("texts") >= TIMES_AROUND * F.greatest("_mean", F.lit(0.1))))
+        .where(_stands_out(F.col("texts"), F.col("_mean")))
         .select("_s", "_m", "_l", names[F.col("_m")].alias("metric"), "texts")
     )
 
 
-CLOSER = r"(?s).*\\(end\{[A-Za-z]+\*?\}|bibliography\{[^{}\n]*\}|fi)$"
+CLOSER = r"\\(end\{[A-Za-z]+\*?\}|bibliography\{[^{}\n]*\}|fi)$"
 
 
 def _last_line(c: str) -> Column:
     return F.substring_index(F.col(c), "\n", -1)
 
 
+def _without_last_line(c: str) -> str:
+    return f"left({c}, greatest(length({c}) - length(substring_index({c}, '\n', -1)), 0))"
+
+
 def _line_is_apart(c: str) -> Column:
     """The last line stands apart from the text before it: marked as a comment or rule, or after an empty line."""
-    return F.col(c).rlike(r"(?s)(^|\n)(%|--)[^\n]*$") | F.col(c).rlike(r"(?s)(^|.*\n[ \t]*\n)[^\n]*$")
+    marked = F.startswith(_last_line(c), F.lit("%")) | F.startswith(_last_line(c), F.lit("--"))
+    return marked | F.expr(f"right({_without_last_line(c)}, 40)").rlike(r"^$|\n[ \t]*\n$")
 
 
 def _ends_whole(c: str) -> Column:
     """The ending closes a unit: an environment, a sentence, a display formula, a reference, an include."""
-    e, para = F.col(c), F.regexp_extract(F.col(c), r"(?s)((?:[^\n]|\n(?![ \t]*\n))*)$", 1)
-    line = F.regexp_extract(e, r"([^\n]*)$", 1)
+    e, line = F.col(c), _last_line(c)
+    para = F.substring_index(F.regexp_replace(e, r"\n[ \t]+\n", "\n\n"), "\n\n", -1)
     closer = e.rlike(CLOSER) | e.rlike(r"\\(input|include)\{[^{}\n]*\}$")
     balanced = (_count(para, "{") <= _count(para, "}")) & ((_count(F.regexp_replace(para, r"\\\$", ""), "$") % 2) == 0)
     sentence = line.rlike(r"[.!?…][)\]}'\"»”]*$") & ~line.rlike(r"\.\.\.$|…$") & ~line.rlike(r"^\s*\\bibitem") & balanced
@@ -157,7 +172,7 @@ def cut_texts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     for k in range(3):
         line = F.trim(_last_line("_end"))
         is_trailer = F.array_contains("_trailers", line)
-        rest = F.regexp_replace(F.expr("left(_end, greatest(length(_end) - length(substring_index(_end, '\n', -1)) - 1, 0))"), r"\s+$", "")
+        rest = _trim_end(F.expr(_without_last_line("_end")))
         x = x.withColumn("_end", F.when(is_trailer, rest).otherwise(F.col("_end")))
     final = F.col("_end").rlike(r"\\end\{(document|thebibliography)\}$|\\bibliography\{[^{}\n]*\}$")
     by_limit = F.col("_hit").isNotNull() & ~final
