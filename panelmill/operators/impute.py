@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from panelmill.functions.numeric import is_finite
+from panelmill.session import written
 
 
 def _long(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -74,7 +75,8 @@ def fill_by_matching(
     donor_issue, donor_date, donor_level ('security', 'company', 'day'). Rows with null keys are dropped; extra
     columns are not kept; an empty input gives an empty result.
 
-    Scale: everything is windows and aggregates on (security, field), bounded by the days of a security; the
+    Scale: the marked and the matched cells are written to the shared folder, as several steps read them; without
+    that each step would plan and run its predecessors again. Everything is windows and aggregates on (security, field), bounded by the days of a security; the
     company step first reduces donors to one per company and day, the day step to one per day, both with
     partial aggregates, so neither a large company nor a large day ends in one task.
     """
@@ -87,6 +89,7 @@ def fill_by_matching(
     marked = marked.withColumn("_ok", F.coalesce(positive, F.lit(False)) & F.col("_stand_in").isNull()).withColumn(
         "_y", F.when(F.col("_ok"), F.log("value"))
     )
+    marked = written(marked.drop("_stand_in"), "marked")
     usable = marked.where("_ok")
     t = F.col("_d").cast("double")
     fit_s = _fit(usable, [*keys, "field"], F.col("_y"), t, "s")
@@ -106,6 +109,7 @@ def fill_by_matching(
     )
     p = p.withColumn("_donor", donor("_pred"))
     p = p.withColumn("_s", F.when(~F.col("_ok") & F.col("_pred").isNotNull(), _nearest("_pred", [*keys, "field"])))
+    p = written(p.select(*keys, date, "_d", "field", "value", "_ok", "_y", "_day_mean", "_s"), "matched")
     # cells whose security has no usable value of the field: company, then day
     rest = p.where(~F.col("_ok") & F.col("_s").isNull()).select(*keys, date, "_d", "field")
     own = p.where(F.col("_ok")).groupBy(company, "field", "_d").agg(
@@ -122,7 +126,7 @@ def fill_by_matching(
         .withColumn("_donor", F.when(F.col("_o").isNotNull(), F.struct(F.col("_pred").alias("p"), F.col("_o.v").alias("v"), F.col("_o.c").alias("c"), F.col("_o.i").alias("i"), F.col("_o.d").alias("d"))))
     )
     both = both.withColumn("_c", F.coalesce(F.col("_donor"), _nearest("_pred", [company, "field"])))
-    rest = rest.join(both.select(company, "field", "_d", "_c"), [company, "field", "_d"], "left")
+    rest = written(rest.join(both.select(company, "field", "_d", "_c"), [company, "field", "_d"], "left"), "rest")
     # one donor per day and field: the observed value nearest to the day's predicted mean
     near = p.where("_ok").groupBy("field", "_d").agg(
         F.min_by(
