@@ -52,9 +52,10 @@ def _fit(rows: DataFrame, by: list[str], y: Column, t: Column, tag: str) -> Data
 
 def _nearest(w_order: str, keys: list[str]) -> Column:
     """The donor with the nearest prediction: range search to both sides in the order of the predictions."""
-    w = W.partitionBy(*keys).orderBy(w_order, "_d")
+    # upwards by the falling order: a frame to the end of the partition would be evaluated anew for every row
+    w, falling = W.partitionBy(*keys).orderBy(w_order, "_d"), W.partitionBy(*keys).orderBy(F.desc(w_order), F.desc("_d"))
     down = F.last("_donor", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    up = F.first("_donor", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    up = F.last("_donor", ignorenulls=True).over(falling.rowsBetween(W.unboundedPreceding, -1))
     gap = lambda c: F.abs(c["p"] - F.col(w_order))
     return F.when(up.isNull() | (gap(down) <= gap(up)), down).otherwise(up)
 
@@ -137,7 +138,7 @@ def fill_by_matching(
     days = rest.where(F.col("_c").isNull()).select("field", "_d").distinct().join(near, ["field", "_d"], "full")
     wd = W.partitionBy("field").orderBy("_d")
     down = F.last("_near", ignorenulls=True).over(wd.rowsBetween(W.unboundedPreceding, 0))
-    up = F.first("_near", ignorenulls=True).over(wd.rowsBetween(0, W.unboundedFollowing))
+    up = F.last("_near", ignorenulls=True).over(W.partitionBy("field").orderBy(F.desc("_d")).rowsBetween(W.unboundedPreceding, 0))
     days = days.withColumn("_down", down).withColumn("_up", up).select(
         "field",
         "_d",

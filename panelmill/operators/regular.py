@@ -67,8 +67,9 @@ def to_grid(
     keys = [f"_s{i}" for i in range(len(source))]
     r = r.join(grid.select(F.col("day").alias("_d"), "pos", "on_grid"), "_d")
     w = W.partitionBy(*keys).orderBy("_d")
-    upto, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(1, W.unboundedFollowing)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
+    upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    # by the falling order: a frame to the end of the partition would be evaluated anew for every row
+    after = W.partitionBy(*keys).orderBy(F.desc("_d")).rowsBetween(W.unboundedPreceding, -1)
     prev = F.last("_v", ignorenulls=True).over(before)
     fell = F.col("_v").isNotNull() & prev.isNotNull() & (F.col("_v") < prev)
     r = r.withColumn("_reset", F.coalesce(fell, F.lit(False)) if counter else F.lit(False))
@@ -81,7 +82,7 @@ def to_grid(
     r = (
         r.withColumn("_p", point)
         .withColumn("_from", F.last("_p", ignorenulls=True).over(upto))
-        .withColumn("_to", F.first("_p", ignorenulls=True).over(after))
+        .withColumn("_to", F.last("_p", ignorenulls=True).over(after))
         .withColumn("_next", F.lead(F.struct("pos", "on_grid")).over(w))
     )
     first = F.col("pos") + F.when(F.col("on_grid"), 0).otherwise(1)
