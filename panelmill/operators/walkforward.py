@@ -97,6 +97,8 @@ def walk_forward(
         p = model.predict(left[features], left[target], right[features])
         return pd.DataFrame({"date": right["date"], id: right[id], "fold": right["fold"], "prediction": pd.Series(p).astype(float).to_numpy()})
 
+    # both sides come from one panel: new column identities, or the co-group is ambiguous
+    train, ask = train.toDF(*train.columns), ask.toDF(*ask.columns)
     return train.groupBy("fold").cogroup(ask.groupBy("fold")).applyInPandas(run, schema)
 
 
