@@ -28,34 +28,38 @@ def _trim_end(c: Column) -> Column:
     return F.rtrim(c, F.lit(" \n\r\t\f\x0b"))
 
 
-def length_metrics(text: str) -> dict[str, Column]:
-    """Length of the text as it is and as it would be stored under other encodings, escapings and line ends."""
+#: Characters whose escaped form is longer.
+COUNTED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "back": "\\", "nl": "\n", "cr": "\r", "tab": "\t", "pair": "\r\n"}
+
+
+def length_counts(text: str) -> dict[str, Column]:
+    """Characters, bytes and the counts from which all lengths follow: one pass over the text each."""
     t = F.col(text)
-    chars, utf8 = F.length(t), F.octet_length(t)
-    amp, lt, gt, quot, apos = (_count(t, c) for c in "&<>\"'")
-    back, nl, cr, tab = (_count(t, c) for c in "\\\n\r\t")
-    pairs = (utf8 - F.octet_length(F.replace(t, F.lit("\r\n")))) / 2
-    pairs = pairs.cast("int")
-    high = F.length(F.regexp_replace(t, r"[\x{0}-\x{FFFF}]+", ""))
-    wide = F.length(F.regexp_replace(t, r"[\x{0}-\x{7F}]+", ""))
-    html, quoted = 4 * amp + 3 * lt + 3 * gt, 5 * quot + 4 * apos
-    json = quot + back + nl + cr + tab
-    crlf = nl - pairs
+    counts = {f"_{n}": (_count(t, c) / len(c)).cast("int") for n, c in COUNTED.items()}
+    wide, high = F.regexp_replace(t, r"[\x{0}-\x{7F}]+", ""), F.regexp_replace(t, r"[\x{0}-\x{FFFF}]+", "")
+    return {"_chars": F.length(t), "_utf8": F.octet_length(t), "_wide": F.length(wide), "_high": F.length(high)} | counts
+
+
+def length_metrics() -> dict[str, Column]:
+    """Length of the text as it is and as it would be stored under other encodings, escapings and line ends."""
+    c = {n: F.col(f"_{n}") for n in ("chars", "utf8", "wide", "high", *COUNTED)}
+    html, quoted = 4 * c["amp"] + 3 * c["lt"] + 3 * c["gt"], 5 * c["quot"] + 4 * c["apos"]
+    json, crlf = c["quot"] + c["back"] + c["nl"] + c["cr"] + c["tab"], c["nl"] - c["pair"]
     return {
-        "chars": chars,
-        "utf8": utf8,
-        "utf16": chars + high,
-        "html_chars": chars + html,
-        "html_utf8": utf8 + html,
-        "html_quoted_chars": chars + html + quoted,
-        "html_quoted_utf8": utf8 + html + quoted,
-        "json_chars": chars + json,
-        "json_utf8": utf8 + json,
-        "json_ascii": chars + json + 5 * wide + 6 * high,
-        "crlf_chars": chars + crlf,
-        "crlf_utf8": utf8 + crlf,
-        "lf_chars": chars - pairs,
-        "lf_utf8": utf8 - pairs,
+        "chars": c["chars"],
+        "utf8": c["utf8"],
+        "utf16": c["chars"] + c["high"],
+        "html_chars": c["chars"] + html,
+        "html_utf8": c["utf8"] + html,
+        "html_quoted_chars": c["chars"] + html + quoted,
+        "html_quoted_utf8": c["utf8"] + html + quoted,
+        "json_chars": c["chars"] + json,
+        "json_utf8": c["utf8"] + json,
+        "json_ascii": c["chars"] + json + 5 * c["wide"] + 6 * c["high"],
+        "crlf_chars": c["chars"] + crlf,
+        "crlf_utf8": c["utf8"] + crlf,
+        "lf_chars": c["chars"] - c["pair"],
+        "lf_utf8": c["utf8"] - c["pair"],
     }
 
 
@@ -67,10 +71,11 @@ METRICS = [
 
 def text_features(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """Per text: its lengths under all metrics and its ending, line ends as \\n and trailing white space removed."""
-    m = length_metrics("_text")
+    m = length_metrics()
     base = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     end = _trim_end(F.replace(F.expr(f"right(_text, {ENDING})"), F.lit("\r\n"), F.lit("\n")))
-    return base.select("_k", "_s", F.xxhash64("_text").alias("_h"), F.array(*[m[x].cast("int") for x in METRICS]).alias("_len"), end.alias("_end"))
+    counted = base.select("_k", "_s", F.xxhash64("_text").alias("_h"), end.alias("_end"), *[c.alias(n) for n, c in length_counts("_text").items()])
+    return counted.select("_k", "_s", "_h", F.array(*[m[x].cast("int") for x in METRICS]).alias("_len"), "_end")
 
 
 def _stands_out(n: Column, mean: Column) -> Column:
@@ -119,17 +124,25 @@ def _line_is_apart(c: str) -> Column:
     return marked | F.expr(f"right({_without_last_line(c)}, 40)").rlike(r"^$|\n[ \t]*\n$")
 
 
-def _ends_whole(c: str) -> Column:
-    """The ending closes a unit: an environment, a sentence, a display formula, a reference, an include."""
-    e, line = F.col(c), _last_line(c)
-    para = F.substring_index(F.regexp_replace(e, r"\n[ \t]+\n", "\n\n"), "\n\n", -1)
-    closer = e.rlike(CLOSER) | e.rlike(r"\\(input|include)\{[^{}\n]*\}$")
-    balanced = (_count(para, "{") <= _count(para, "}")) & ((_count(F.regexp_replace(para, r"\\\$", ""), "$") % 2) == 0)
-    sentence = line.rlike(r"[.!?…][)\]}'\"»”]*$") & ~line.rlike(r"\.\.\.$|…$") & ~line.rlike(r"^\s*\\bibitem") & balanced
+def _ends_whole() -> Column:
+    """The ending closes a unit: an environment, a sentence, a display formula, a reference, an include.
+
+    Over the columns _end, _line (its last line), _para (its last paragraph) and _odd (unclosed braces or formula
+    in the paragraph), which are made beforehand so that none is computed twice.
+    """
+    e, line, whole = F.col("_end"), F.col("_line"), ~F.col("_odd")
+    closer = e.rlike(CLOSER) | line.rlike(r"\\(input|include)\{[^{}]*\}$")
+    sentence = line.rlike(r"[.!?…][)\]}'\"»”]*$") & ~line.rlike(r"\.\.\.$|…$|^\s*\\bibitem") & whole
     formula = line.rlike(r"\\\]$|\$\$$")
     reference = line.rlike(r"^\s*\[\d+\] .*\b\d{4}\.?$")
-    caption = line.rlike(r"^\s*\\(caption|title|author|section\*?|subsection\*?|label|footnote|emph)\{.*\}$") & balanced
-    return closer | sentence | formula | reference | caption | (e == "")
+    command = line.rlike(r"^\s*\\(caption|title|author|section\*?|subsection\*?|label|footnote|emph)\{.*\}$") & whole
+    return (e == "") | closer | sentence | formula | reference | command
+
+
+def _with_ending_parts(df: DataFrame) -> DataFrame:
+    x = df.withColumn("_line", _last_line("_end")).withColumn("_para", F.substring_index(F.regexp_replace("_end", r"\n[ \t]+\n", "\n\n"), "\n\n", -1))
+    dollars = _count(F.replace(F.col("_para"), F.lit("\\$")), "$")
+    return x.withColumn("_odd", (_count(F.col("_para"), "{") > _count(F.col("_para"), "}")) | (dollars % 2 != 0))
 
 
 def cut_texts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -176,7 +189,8 @@ def cut_texts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
         x = x.withColumn("_end", F.when(is_trailer, rest).otherwise(F.col("_end")))
     final = F.col("_end").rlike(r"\\end\{(document|thebibliography)\}$|\\bibliography\{[^{}\n]*\}$")
     by_limit = F.col("_hit").isNotNull() & ~final
-    by_end = ~_ends_whole("_end")
+    x = _with_ending_parts(x)
+    by_end = ~_ends_whole()
     cut = (F.element_at("_len", 1) > 0) & (by_limit | by_end)
     return x.select(
         F.col("_k").alias(key), F.when(F.col("_s") != "\x00", F.col("_s")).alias(source), cut.alias("cut"),
