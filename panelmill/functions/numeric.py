@@ -39,3 +39,8 @@ def skew_sample(c: Column) -> Column:
     var = m2 - m * m
     pop = F.try_divide(m3 - 3 * m * m2 + 2 * m * m * m, F.pow(F.greatest(var, F.lit(0.0)), F.lit(1.5)))
     return F.when(F.count(c) > 2, pop * F.try_divide(F.sqrt(n * (n - 1)), n - 2))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """Half-even rounding without a negative zero."""
+    return F.bround(c, digits) + F.lit(0.0)

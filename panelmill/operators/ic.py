@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panelmill.functions.numeric import corr, skew_sample
+from panelmill.functions.numeric import corr, skew_sample, rounded
 from panelmill.operators.returns import forward_returns, in_factor_range
 
 
@@ -30,8 +30,8 @@ def rolling_ic(ic: DataFrame, daily: bool) -> DataFrame:
 def ic_aggregates(c: str = "ic") -> list[Column]:
     x = F.col(c)
     return [
-        F.bround(F.avg(x), 3).alias("mean"), F.bround(F.median(x), 3).alias("median"), F.bround(F.stddev_samp(x), 3).alias("std"),
-        F.bround(F.try_divide(F.avg(x), F.stddev_samp(x)), 3).alias("mean_std"), F.bround(skew_sample(x), 3).alias("skew"),
+        rounded(F.avg(x), 3).alias("mean"), rounded(F.median(x), 3).alias("median"), rounded(F.stddev_samp(x), 3).alias("std"),
+        rounded(F.try_divide(F.avg(x), F.stddev_samp(x)), 3).alias("mean_std"), rounded(skew_sample(x), 3).alias("skew"),
     ]
 
 

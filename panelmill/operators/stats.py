@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from panelmill.functions.numeric import rounded
 from panelmill.operators.returns import cumulative
 
 
@@ -85,10 +86,10 @@ def per_series(series: DataFrame, name: str, func: Callable) -> DataFrame:
 def inspection(bucketed: DataFrame) -> DataFrame:
     """Factor summary per bucket: median, deviation, least, greatest (rounded to 2), count and percent of all."""
     g = bucketed.groupBy("ntile").agg(
-        F.bround(F.median("factor"), 2).alias("median"), F.bround(F.stddev_samp("factor"), 2).alias("std"),
-        F.bround(F.min("factor"), 2).alias("min"), F.bround(F.max("factor"), 2).alias("max"), F.count("*").alias("count"),
+        rounded(F.median("factor"), 2).alias("median"), rounded(F.stddev_samp("factor"), 2).alias("std"),
+        rounded(F.min("factor"), 2).alias("min"), rounded(F.max("factor"), 2).alias("max"), F.count("*").alias("count"),
     )
-    return g.withColumn("count_pct", F.bround(F.col("count") * 100.0 / F.sum("count").over(W.partitionBy(F.lit(1))), 2))
+    return g.withColumn("count_pct", rounded(F.col("count") * 100.0 / F.sum("count").over(W.partitionBy(F.lit(1))), 2))
 
 
 def counts_per_date(bucketed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.functions.numeric import corr
+from panelmill.functions.numeric import corr, rounded
 from panelmill.operators.panel import positions
 
 
@@ -41,4 +41,4 @@ def bucket_turnover(bucketed: DataFrame, h: int, buckets: int | None = None, dro
 def summarise(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """mean, median and sample deviation, rounded to 3."""
     x = F.col(value)
-    return df.groupBy(*by).agg(F.bround(F.avg(x), 3).alias("mean"), F.bround(F.median(x), 3).alias("median"), F.bround(F.stddev_samp(x), 3).alias("std"))
+    return df.groupBy(*by).agg(rounded(F.avg(x), 3).alias("mean"), rounded(F.median(x), 3).alias("median"), rounded(F.stddev_samp(x), 3).alias("std"))

@@ -7,6 +7,8 @@ to 6 digits on both sides.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +35,15 @@ def query(sql: str | None = None):
     def keep(f):
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            # + 0: no negative zero on either side
+            _SQL[f.__name__] = re.sub(r"\bround(_even)?\(", r"0 + round\1(", sql)
         return f
 
     return keep
 
 
 def r6(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in cols})
 
 
 # ---- panels -----------------------------------------------------------------------------------------------------

@@ -76,30 +76,30 @@ class Ntile:
             "autocorrelation_summary": turnover.summarise(auto, "autocorrelation", []), "turnover_summary": turnover.summarise(turn, "turnover", ["ntile"]),
         }
 
-    def full_tear(self, factor, ntiles, holding_period, long_short=True, market_neutral=True, show_uni=False, show_ntile_tilts=False) -> dict:
-        f, b, a = self._prepare(factor, ntiles)
+    def full_tear(self, factor, buckets, holding_period, long_short=True, market_neutral=True, show_uni=False, show_ntile_tilts=False) -> dict:
+        f, b, a = self._prepare(factor, buckets)
         return {
             "coverage": {"coverage": backtest.coverage(f, in_factor_range(self.pricing.returns, f))},
-            "inspection": self._inspection(b, ntiles),
-            "backtest": self._backtest(a, ntiles, holding_period, long_short, market_neutral, show_uni, show_ntile_tilts),
+            "inspection": self._inspection(b, buckets),
+            "backtest": self._backtest(a, buckets, holding_period, long_short, market_neutral, show_uni, show_ntile_tilts),
             "ic": self._ic(f, holding_period),
             "turnover": self._turnover(f, b, holding_period),
         }
 
-    def ntile_backtest_tear(self, factor, ntiles, holding_period, long_short=True, market_neutral=True, show_uni=False, show_ntile_tilts=False) -> dict:
-        _, _, a = self._prepare(factor, ntiles)
-        return {"backtest": self._backtest(a, ntiles, holding_period, long_short, market_neutral, show_uni, show_ntile_tilts)}
+    def ntile_backtest_tear(self, factor, buckets, holding_period, long_short=True, market_neutral=True, show_uni=False, show_ntile_tilts=False) -> dict:
+        _, _, a = self._prepare(factor, buckets)
+        return {"backtest": self._backtest(a, buckets, holding_period, long_short, market_neutral, show_uni, show_ntile_tilts)}
 
-    def ntile_inspection_tear(self, factor, ntiles) -> dict:
-        _, b, _ = self._prepare(factor, ntiles)
-        return {"inspection": self._inspection(b, ntiles)}
+    def ntile_inspection_tear(self, factor, buckets) -> dict:
+        _, b, _ = self._prepare(factor, buckets)
+        return {"inspection": self._inspection(b, buckets)}
 
     def ntile_ic_tear(self, factor, holding_period) -> dict:
         f, _, _ = self._prepare(factor, 1)
         return {"ic": self._ic(f, holding_period)}
 
-    def ntile_turnover_tear(self, factor, ntiles, holding_period) -> dict:
-        f, b, _ = self._prepare(factor, ntiles)
+    def ntile_turnover_tear(self, factor, buckets, holding_period) -> dict:
+        f, b, _ = self._prepare(factor, buckets)
         return {"turnover": self._turnover(f, b, holding_period)}
 
     def ntile_ic_horizon(self, factor, intervals, show_individual=False) -> dict:
