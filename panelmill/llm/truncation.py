@@ -192,11 +192,13 @@ def cut_texts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     x = _with_ending_parts(x)
     by_end = ~_ends_whole()
     cut = (F.element_at("_len", 1) > 0) & (by_limit | by_end)
-    return x.select(
+    decided = x.select(
         F.col("_k").alias(key), F.when(F.col("_s") != "\x00", F.col("_s")).alias(source), cut.alias("cut"),
         F.when(cut, F.when(by_limit, "limit").otherwise("ending")).alias("reason"),
         F.when(cut & by_limit, F.col("_hit.metric")).alias("metric"), F.when(cut & by_limit, F.col("_hit._l")).alias("limit"),
     )
+    # written, as a filter on `cut` would otherwise be pushed below every step, each step's expression copied into it
+    return written(decided, "cut")
 
 
 def cut_shares(cut: DataFrame, source: str) -> DataFrame:
