@@ -11,10 +11,19 @@ from panelmill.session import written
 
 
 def _long(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields])
+    """keys, field (the place of the field in the list: a number is cheaper to move than a name), value."""
+    cells = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f).cast("double").alias("value")) for i, f in enumerate(fields)])
     return df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.field", "_c.value")
 
 
+#: Tables of days or stand-in numbers are broadcast up to this many rows, which is counted first.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+
+
 def stand_ins(cells: DataFrame, group: list[str], date: str, jump: float = 3.0, share: float = 0.2, least: int = 2) -> DataFrame:
     """(field, value) of the positive numbers that are used as stand-ins for a missing value.
 
@@ -82,37 +91,34 @@ def fill_by_matching(
     partial aggregates, so neither a large company nor a large day ends in one task.
     """
     keys = [company, issue]
-    base = df.dropna(subset=[company, issue, date])
-    cells = _long(base, [*keys, date], fields).withColumn("_d", F.unix_date(date))
+    base = df.dropna(subset=[company, issue, date]).withColumn("_d", F.unix_date(date))
+    cells = _long(base, [*keys, "_d"], fields)
     positive = is_finite("value") & (F.col("value") > 0)
-    sentinels = stand_ins(cells.where(positive), keys, date)
-    marked = cells.join(sentinels, ["field", "value"], "left")
-    marked = marked.withColumn("_ok", F.coalesce(positive, F.lit(False)) & F.col("_stand_in").isNull()).withColumn(
-        "_y", F.when(F.col("_ok"), F.log("value"))
-    )
-    marked = written(marked.drop("_stand_in"), "marked")
-    usable = marked.where("_ok")
-    t = F.col("_d").cast("double")
-    fit_s = _fit(usable, [*keys, "field"], F.col("_y"), t, "s")
-    with_fit = marked.join(fit_s, [*keys, "field"], "left")
-    trend = F.col("_ms") + F.col("_bs") * (t - F.col("_ts"))
-    with_fit = with_fit.withColumn("_trend", trend)
+    sentinels = written(stand_ins(cells.where(positive), keys, "_d"), "stand-ins")
+    marked = cells.join(_small(sentinels), ["field", "value"], "left")
+    ok = F.coalesce(positive, F.lit(False)) & F.col("_stand_in").isNull()
+    marked = marked.withColumn("_ok", ok).drop("_stand_in")
+    # the security's own fit, in the exchange that the later windows of a security need as well
+    w = W.partitionBy(*keys, "field")
+    y, t = F.when(F.col("_ok"), F.log("value")), F.when(F.col("_ok"), F.col("_d").cast("double"))
+    slope = F.coalesce(F.try_divide(F.covar_pop(y, t).over(w), F.var_pop(t).over(w)), F.lit(0.0))
+    trended = marked.withColumn("_trend", F.avg(y).over(w) + slope * (F.col("_d") - F.avg(t).over(w)))
+    trended = written(trended.select(*keys, "_d", "field", "value", "_ok", "_trend"), "trended")
     # the day's common move; one row per day and field
-    day = with_fit.where("_ok").groupBy(F.col("field").alias("_f"), F.col("_d").alias("_dd")).agg(
-        F.avg(F.col("_y") - F.col("_trend")).alias("_move"), F.avg("_y").alias("_day_mean")
+    y, t = F.log("value"), F.col("_d").cast("double")
+    day = written(
+        trended.where("_ok").groupBy(F.col("field").alias("_f"), F.col("_d").alias("_dd")).agg(F.avg(y - F.col("_trend")).alias("_move"), F.avg(y).alias("_day_mean")), "days"
     )
-    p = with_fit.join(day, (F.col("field") == F.col("_f")) & (F.col("_d") == F.col("_dd")), "left").withColumn(
+    p = trended.join(_small(day), (F.col("field") == F.col("_f")) & (F.col("_d") == F.col("_dd")), "left").withColumn(
         "_pred", F.col("_trend") + F.coalesce(F.col("_move"), F.lit(0.0))
     )
-    donor = lambda pred: F.when(
-        F.col("_ok"),
-        F.struct(F.col(pred).alias("p"), F.col("value").alias("v"), F.col(company).alias("c"), F.col(issue).alias("i"), F.col("_d").alias("d")),
-    )
-    p = p.withColumn("_donor", donor("_pred"))
+    # within a security donors differ by day alone
+    p = p.withColumn("_donor", F.when(F.col("_ok"), F.struct(F.col("_pred").alias("p"), F.col("value").alias("v"), F.col("_d").alias("d"))))
     p = p.withColumn("_s", F.when(~F.col("_ok") & F.col("_pred").isNotNull(), _nearest("_pred", [*keys, "field"])))
-    p = written(p.select(*keys, date, "_d", "field", "value", "_ok", "_y", "_day_mean", "_s"), "matched")
+    p = written(p.select(*keys, "_d", "field", "value", "_ok", "_day_mean", F.col("_s.v").alias("_sv"), F.col("_s.d").alias("_sd")), "matched")
     # cells whose security has no usable value of the field: company, then day
-    rest = p.where(~F.col("_ok") & F.col("_s").isNull()).select(*keys, date, "_d", "field")
+    p = p.withColumn("_y", F.when(F.col("_ok"), F.log("value")))
+    rest = p.where(~F.col("_ok") & F.col("_sv").isNull()).select(*keys, "_d", "field")
     own = p.where(F.col("_ok")).groupBy(company, "field", "_d").agg(
         F.min_by(F.struct(F.col("value").alias("v"), F.col(company).alias("c"), F.col(issue).alias("i"), F.col("_d").alias("d")), issue).alias("_o"),
         F.avg("_y").alias("_y"),
@@ -152,17 +158,19 @@ def fill_by_matching(
         F.when(F.col("_c").isNotNull(), "company").when(F.col("_n").isNotNull(), "day").alias("_lv"),
     )
     out = p.join(rest, [*keys, "_d", "field"], "left")
-    found = F.coalesce(F.col("_s"), F.col("_other"))
+    names = F.array(*[F.lit(f) for f in fields])
+    own, other = F.col("_sv").isNotNull(), F.col("_other")
+    found = own | other.isNotNull()
     return out.select(
         *keys,
-        date,
-        "field",
+        F.date_from_unix_date("_d").alias(date),
+        names[F.col("field")].alias("field"),
         F.col("value").alias("delivered"),
-        F.when(F.col("_ok"), F.col("value")).otherwise(found["v"]).alias("value"),
-        (~F.col("_ok") & found.isNotNull()).alias("filled"),
+        F.when(F.col("_ok"), F.col("value")).otherwise(F.coalesce("_sv", other["v"])).alias("value"),
+        (~F.col("_ok") & found).alias("filled"),
         (~F.col("_ok")).alias("unusable"),
-        found["c"].alias("donor_company"),
-        found["i"].alias("donor_issue"),
-        F.date_from_unix_date(found["d"]).alias("donor_date"),
-        F.when(F.col("_s").isNotNull(), "security").otherwise(F.col("_lv")).alias("donor_level"),
+        F.when(own, F.col(company)).otherwise(other["c"]).alias("donor_company"),
+        F.when(own, F.col(issue)).otherwise(other["i"]).alias("donor_issue"),
+        F.date_from_unix_date(F.coalesce("_sd", other["d"])).alias("donor_date"),
+        F.when(own, "security").otherwise(F.col("_lv")).alias("donor_level"),
     )
