@@ -170,7 +170,7 @@ def cut_texts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     # trailers, of texts on no limit
     tail = at.where(F.col("_hit").isNull() & (F.col("_end") != "")).where(_line_is_apart("_end") & ~F.col("_end").rlike(CLOSER))
     tail = tail.select("_s", "_docs", F.trim(_last_line("_end")).alias("_line")).where(F.length("_line").between(1, TRAILER_LENGTH))
-    lines = tail.groupBy("_line", "_s").agg(F.count("*").alias("_n"), F.max("_docs").alias("_docs"))
+    lines = written(tail.groupBy("_line", "_s").agg(F.count("*").alias("_n"), F.max("_docs").alias("_docs")), "lines")
     every = lines.groupBy("_line").agg(F.sum("_n").alias("_all"))
     total = sources.agg(F.sum("_docs")).first()[0] or 0
     lines = lines.join(every.where(F.col("_all") >= LEAST_TRAILERS), "_line")
