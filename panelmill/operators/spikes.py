@@ -76,7 +76,7 @@ def flag_readings(
     date: str,
     fields: dict[str, dict],
     block: int = 10,
-    far: float = 10.0,
+    far: float = 9.0,
     longest: int = 3,
 ) -> DataFrame:
     """Rows (source, date, field, reason, value) of the readings that can't be right for their source.
@@ -177,13 +177,21 @@ def _flag(t: pa.Table, source: str, date: str, names: list, fields: dict, block:
             if not len(some):
                 continue
             deep = int(-(-length[some].max() // block))
-            x = np.zeros((len(some), deep * block))
-            seen = np.zeros((len(some), deep * block), bool)
+            x = np.zeros((len(some), deep, block))
+            seen = np.zeros(x.shape, bool)
+            at = np.zeros(x.shape, int)
             for i, k in enumerate(some):
-                x[i, : length[k]] = y[first[k] : first[k] + length[k]]
-                seen[i, : length[k]] = True
-            sparse = robust_components(x.reshape(len(some), deep, block), seen.reshape(len(some), deep, block), o["floor"] / 2)
-            sparse = sparse.reshape(len(some), -1)
+                n = length[k]
+                # the last row overlaps the one before rather than being short, where a spike could be its majority
+                begin = np.minimum(np.arange(0, n, block), max(n - block, 0))
+                place = begin[:, None] + np.arange(block)
+                seen[i, : len(begin)] = place < n
+                at[i, : len(begin)] = np.minimum(place, n - 1)
+                x[i, : len(begin)] = y[first[k] + at[i, : len(begin)]]
+            found = robust_components(x, seen, o["floor"] / 2)
+            sparse = np.zeros((len(some), int(length[some].max())), bool)
+            which, *cell = np.nonzero(found)
+            sparse[which, at[(which, *cell)]] = True
             for i, k in enumerate(some):
                 if sparse[i].any():
                     lo, n = first[k], length[k]

@@ -16,7 +16,7 @@ from panelmill.session import read
 
 CSTAT_FIELDS = ["prccd", "ajexdi", "cshoc"]
 SPIKE_FIELDS = {
-    "prc": {"signed": True, "ratio": 1000.0, "floor": 0.05, "run": 6},
+    "prc": {"signed": True, "ratio": 1000.0, "floor": 0.02, "run": 6},
     "cfacpr": {"signed": False, "ratio": 50.0, "floor": 0.1, "run": 0},
 }
 
