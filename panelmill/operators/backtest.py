@@ -71,18 +71,19 @@ def series_returns(aligned: DataFrame, hp: int, buckets: int, freq: str, long_sh
     which that leaves unchanged.
     """
     b = bucket_returns(aligned, hp, buckets, freq)
-    u = universe_returns(aligned, hp, freq)
-    if market_neutral:
-        b = b.join(u.withColumnRenamed("ret", "_u"), "date").withColumn("ret", F.col("ret") - F.col("_u")).drop("_u")
-    out = b.select("date", F.concat(F.lit("Ntile: "), "ntile").alias("series"), "ret")
+    u = universe_returns(aligned, hp, freq).select("date", F.lit(0).alias("ntile"), "ret")
+    # one row per date with all buckets, from which every series follows: no self-joins
+    of = lambda k: F.max(F.when(F.col("ntile") == k, F.col("ret")))
+    wide = b.unionByName(u).groupBy("date").agg(*[of(k).alias(f"_{k}") for k in range(buckets + 1)])
+    less = F.col("_0") if market_neutral else F.lit(0.0)
+    series = [(f"Ntile: {k}", F.col(f"_{k}") - less) for k in range(1, buckets + 1)]
     if show_uni:
-        out = out.unionByName(u.select("date", F.lit("universe").alias("series"), "ret"))
+        series.append(("universe", F.col("_0")))
     if long_short:
         pairs = [(1, buckets)] + ([(2, buckets - 1)] if buckets > 3 else [])
-        for a, z in pairs:
-            sign = F.when(F.col("ntile") == a, F.col("ret")).when(F.col("ntile") == z, -F.col("ret"))
-            out = out.unionByName(b.groupBy("date").agg((F.sum(sign) / 2).alias("ret")).select("date", F.lit(f"{a} vs {z}").alias("series"), "ret"))
-    return out
+        series += [(f"{x} vs {z}", (F.col(f"_{x}") - F.col(f"_{z}")) / 2) for x, z in pairs]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("series"), c.alias("ret")) for n, c in series]))
+    return wide.select("date", each.alias("_s")).select("date", "_s.series", "_s.ret")
 
 
 def concentration(aligned: DataFrame, hp: int, most: float = CONCENTRATED) -> DataFrame:

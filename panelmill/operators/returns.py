@@ -70,7 +70,9 @@ def aligned_panel(bucketed: DataFrame, returns: DataFrame) -> DataFrame:
 
     A left join onto the returns grid; ids without a bucket that day keep null. pos numbers the dates in range.
     """
-    r = in_factor_range(returns, bucketed).select("date", "id", "ret")
-    return r.join(F.broadcast(positions(r)), "date").join(bucketed.select("date", "id", "factor", "ntile"), ["date", "id"], "left")
-
-
+    r = in_factor_range(returns, bucketed)
+    if "pos" in returns.columns:  # numbered already: shift to the first date in range
+        r = r.select("date", "id", "ret", (F.col("pos") - r.agg(F.min("pos")).scalar() + 1).alias("pos"))
+    else:
+        r = r.select("date", "id", "ret").join(F.broadcast(positions(r)), "date")
+    return r.join(bucketed.select("date", "id", "factor", "ntile"), ["date", "id"], "left").select("date", "pos", "id", "ret", "factor", "ntile")

@@ -43,9 +43,13 @@ def drawdowns(series: DataFrame, ret: str = "ret") -> DataFrame:
 
 def flip_lower_half(series: DataFrame, position: Column, count: int) -> DataFrame:
     """Negate the returns of the lower half of the buckets (position > ceil(n / 2)); null for the middle one of an odd number."""
+    return series.withColumn("ret", _held(position, count))
+
+
+def _held(position: Column, count: int) -> Column:
     half = -(-count // 2)
     r = F.when((position == half) & F.lit(count % 2 == 1), F.lit(None)).when(position > half, -F.col("ret")).otherwise(F.col("ret"))
-    return series.withColumn("ret", r.cast("double"))
+    return r.cast("double")
 
 
 def max_drawdown(series: DataFrame) -> DataFrame:
@@ -57,14 +61,14 @@ def statistics(series: DataFrame, ann: int, flip: bool = False, position: Column
     """One row per series: Sharpe ratio, CAGR, volatility and drawdown in percent, share of periods up.
 
     series: (date, series, ret). With flip, drawdowns of the lower buckets are those of holding them short.
-    Everything is partitioned by series; a series has one row a date.
+    One window and one aggregate, both partitioned by series; a series has one row a date.
     """
     ret = F.col("ret")
-    base = series.groupBy("series").agg(
-        sharpe(ret, ann).alias("sharpe"), cagr(ret, ann).alias("cagr"), annual_volatility(ret, ann).alias("annual_vol"), share_up(ret).alias("periods_up")
+    x = series.withColumn("_held", _held(position, count) if flip else ret)
+    return drawdowns(x, "_held").groupBy("series").agg(
+        sharpe(ret, ann).alias("sharpe"), cagr(ret, ann).alias("cagr"), annual_volatility(ret, ann).alias("annual_vol"),
+        (F.min("dd") * 100).alias("max_drawdown"), share_up(ret).alias("periods_up"),
     )
-    dd = max_drawdown(flip_lower_half(series, position, count) if flip else series)
-    return base.join(dd, "series").select("series", "sharpe", "cagr", "annual_vol", "max_drawdown", "periods_up")
 
 
 def per_series(series: DataFrame, name: str, func: Callable) -> DataFrame:

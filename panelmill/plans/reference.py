@@ -22,7 +22,7 @@ from panelmill.operators.returns import aligned_panel, forward_returns, pad_extr
 from panelmill.operators.standing import standing_rows
 from panelmill.operators.walkforward import LeastSquares, fold_table, walk_forward
 from panelmill.plans.tears import Ntile
-from panelmill.session import read
+from panelmill.session import read, written
 from panelmill.sources.portals import PricingPortal, SectorPortal
 from panelmill.sources.query import Query, forward_fill
 
@@ -55,16 +55,24 @@ def pm(s: SparkSession, d: str) -> DataFrame:
     return x.agg(F.sum("l_quantity").alias("factor"), (money / F.sum("l_quantity")).alias("price"))
 
 
+def pm_both(s, d) -> tuple[DataFrame, DataFrame]:
+    """(factor, returns) of one panel, written once: factor, prices, ids and dates are read from it, not each from the line items."""
+    p = written(pm(s, d), "panel")
+    return p.select("date", "id", "factor"), simple_returns(p.select("date", "id", "price"))
+
+
 def pm_factor(s, d) -> DataFrame:
     return pm(s, d).select("date", "id", "factor")
 
 
 def pm_returns(s, d) -> DataFrame:
-    return simple_returns(pm(s, d).select("date", "id", "price"))
+    return pm_both(s, d)[1]
 
 
 def pm_aligned(s, d) -> DataFrame:
-    return aligned_panel(bucket_factor(pm_factor(s, d), N), pm_returns(s, d))
+    """Written once: weights, dates and universe all read it."""
+    f, r = pm_both(s, d)
+    return written(aligned_panel(bucket_factor(f, N), r), "aligned")
 
 
 def groups(s, d) -> DataFrame:
@@ -503,7 +511,7 @@ def g5_median_per_bucket(s, d):
 
 @query(f"WITH {_IC} SELECT date, round(ic, 6) AS ic FROM ics")
 def g6_j14_daily_ic(s, d):
-    return r6(ic.daily_ic(pm_factor(s, d), pm_returns(s, d), HP), "ic")
+    return r6(ic.daily_ic(*pm_both(s, d), HP), "ic")
 
 
 @query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS ic FROM lineitem GROUP BY 1")
@@ -516,7 +524,7 @@ _SUM = "round_even(avg(ic), 3) AS mean, round_even(median(ic), 3) AS median, rou
 
 @query(f"WITH {_IC} SELECT '{HP}D' AS horizon, {_SUM} FROM ics")
 def g8_ic_summary(s, d):
-    return ic.ic_summary(ic.daily_ic(pm_factor(s, d), pm_returns(s, d), HP), HP)
+    return ic.ic_summary(ic.daily_ic(*pm_both(s, d), HP), HP)
 
 
 @query(
@@ -525,7 +533,7 @@ def g8_ic_summary(s, d):
     + " " + " UNION ALL ".join(f"SELECT '{h}D' AS horizon, {_SUM} FROM ic{h}" for h in (1, 3, 6))
 )
 def g9_o6_ic_horizon(s, d):
-    return ic.ic_horizon(pm_factor(s, d), pm_returns(s, d), [6, 1, 3])
+    return ic.ic_horizon(*pm_both(s, d), [6, 1, 3])
 
 
 _TURN = f"""{_NT}, dd AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM nt)),
@@ -582,7 +590,7 @@ def w12_rolling_sum(s, d):
 
 @query(f"WITH {_IC} SELECT date, round(ic, 6) AS ic, round(CASE WHEN count(ic) OVER w = 12 THEN avg(ic) OVER w END, 6) AS ic_mean FROM ics WINDOW w AS (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")
 def w13_rolling_ic(s, d):
-    return r6(ic.rolling_ic(ic.daily_ic(pm_factor(s, d), pm_returns(s, d), HP), False), "ic", "ic_mean")
+    return r6(ic.rolling_ic(ic.daily_ic(*pm_both(s, d), HP), False), "ic", "ic_mean")
 
 
 _CUM = f"{_AL}, cu AS (SELECT date, series, ret, product(1 + ret) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM se)"
@@ -673,33 +681,39 @@ class _Portal:
         self.returns = returns
 
 
-def _report(s, d) -> Ntile:
-    return Ntile(_Portal(pm_returns(s, d)), SectorPortal.from_groups(groups(s, d)))
+def _report(s, d) -> tuple[Ntile, DataFrame]:
+    f, r = pm_both(s, d)
+    return Ntile(_Portal(r), SectorPortal.from_groups(groups(s, d))), f
 
 
 @query(f"WITH {_AL} SELECT date, series, round(ret, 6) AS ret FROM se WHERE series <> 'universe'")
 def t2_t3_full_report(s, d):
-    return r6(_report(s, d).full_tear(pm_factor(s, d), N, HP)["backtest"]["returns"], "ret")
+    n, f = _report(s, d)
+    return r6(n.full_tear(f, N, HP)["backtest"]["returns"], "ret")
 
 
 @query(f"WITH {_NT} SELECT date, count(*) AS count FROM nt GROUP BY 1")
 def t4_inspection_report(s, d):
-    return _report(s, d).ntile_inspection_tear(pm_factor(s, d), N)["inspection"]["count"]
+    n, f = _report(s, d)
+    return n.ntile_inspection_tear(f, N)["inspection"]["count"]
 
 
 @query(f"WITH {_IC} SELECT '{HP}D' AS horizon, {_SUM} FROM ics")
 def t5_ic_report(s, d):
-    return _report(s, d).ntile_ic_tear(pm_factor(s, d), HP)["ic"]["summary"]
+    n, f = _report(s, d)
+    return n.ntile_ic_tear(f, HP)["ic"]["summary"]
 
 
 @query(f"WITH {_TURN} SELECT date, ntile, round(CAST(turnover AS DOUBLE), 6) AS turnover FROM tv")
 def t6_turnover_report(s, d):
-    return r6(_report(s, d).ntile_turnover_tear(pm_factor(s, d), N, HP)["turnover"]["turnover"], "turnover")
+    n, f = _report(s, d)
+    return r6(n.ntile_turnover_tear(f, N, HP)["turnover"]["turnover"], "turnover")
 
 
 @query(_SQL["g9_o6_ic_horizon"])
 def t7_ic_horizon_report(s, d):
-    return _report(s, d).ntile_ic_horizon(pm_factor(s, d), [1, 3, 6])["horizon"]["summary"]
+    n, f = _report(s, d)
+    return n.ntile_ic_horizon(f, [1, 3, 6])["horizon"]["summary"]
 
 
 _FOLDS = f"""{_PM}, dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM pm)), n AS (SELECT count(*) AS n FROM dd),
