@@ -98,3 +98,30 @@ def check_factor(factor: DataFrame, returns: DataFrame, least_periods: int = 100
         raise ValueError("Factor and returns have no date in common")
     out = [f"{unpriced} ids of the factor have no returns"] if unpriced else []
     return out + ([f"The factor has {top['d']} periods, less than {least_periods}"] if top["d"] < least_periods else [])
+
+
+def price_pivot(df: DataFrame, value: str, ids: list, id: str = "symbol", date_format: str = "") -> DataFrame:
+    """One row per date and one column per id with the mean of the values (copies of a key are averaged).
+
+    The ids are given, so the pivot needs no extra pass to find them. String dates need date_format (strptime).
+    """
+    check_columns(["date", id, value], df)
+    return _dated(df, date_format).groupBy("date").pivot(id, ids).agg(F.avg(F.nanvl(F.col(value).cast("double"), F.lit(None))))
+
+
+def clean_factor(df: DataFrame, value: str, id: str = "symbol", max_loss: float = 0.1, date_format: str = "") -> DataFrame:
+    """(date, id, value): one row per key (the least value of copies), then only finite values; an error if more
+    than max_loss of the rows is lost."""
+    x = _dated(check_columns(["date", id, value], df), date_format)
+    x = handle_duplicates(x, "Warning", value, drop=True, subset=["date", id], order=[value])
+    return finite_filter(x.withColumn(value, F.col(value).cast("double")), max_loss, [value])[0]
+
+
+def _dated(df: DataFrame, date_format: str) -> DataFrame:
+    from panelmill.functions.dates import strptime_pattern
+
+    if dict(df.dtypes)["date"] == "string":
+        if not date_format:
+            raise ValueError("date_format must be given for date columns of type string")
+        return df.withColumn("date", F.to_date("date", strptime_pattern(date_format)))
+    return df.withColumn("date", F.col("date").cast("date"))

@@ -17,7 +17,7 @@ from panelmill.functions.numeric import corr
 from panelmill.operators import backtest, ic, stats, turnover
 from panelmill.operators.cross import bucket_factor, ntile_columns, rank_columns, robust_scores
 from panelmill.operators.membership import MembershipAdjuster, holdings_universe, link_permno, market_cap_ranks, members_by_interval, ranked_universe
-from panelmill.operators.panel import finite_filter, positions
+from panelmill.operators.panel import clean_factor, finite_filter, positions, price_pivot
 from panelmill.operators.returns import aligned_panel, forward_returns, pad_extra_day, pct_change, rolling_sum, simple_returns
 from panelmill.operators.standing import standing_rows
 from panelmill.operators.walkforward import LeastSquares, fold_table, walk_forward
@@ -208,13 +208,10 @@ def pr19_finite_filter(s, d):
     return finite_filter(read(s, d, "crsp_sd").select("permno", "date", "prc", "shrout"), 0.1)[0]
 
 
-@query("SELECT permno, date, ttm_mc FROM (SELECT *, row_number() OVER (PARTITION BY permno, date ORDER BY ttm_mc DESC NULLS LAST) AS rn FROM temp_rank_crsp_mc WHERE NOT isnan(ttm_mc)) WHERE rn = 1")
+@query("SELECT permno, date, ttm_mc FROM (SELECT *, row_number() OVER (PARTITION BY permno, date ORDER BY ttm_mc NULLS FIRST) AS rn FROM temp_rank_crsp_mc) WHERE rn = 1 AND isfinite(ttm_mc)")
 def a17_g14_clean_factor(s, d):
-    from panelmill.operators.panel import handle_duplicates
-
-    x = read(s, d, "temp_rank_crsp_mc").select("permno", "date", "ttm_mc").where(~F.isnan("ttm_mc") & F.col("ttm_mc").isNotNull())
-    x = x.withColumn("_o", -F.col("ttm_mc"))
-    return handle_duplicates(x, "Warning", "ttm_mc", drop=True, subset=["permno", "date"], order=["_o"]).drop("_o")
+    x = read(s, d, "temp_rank_crsp_mc").select("permno", "date", "ttm_mc")
+    return clean_factor(x, "ttm_mc", "permno").select("permno", "date", "ttm_mc")
 
 
 # ---- joins ----------------------------------------------------------------------------------------------------------
@@ -451,8 +448,8 @@ def a15_padding(s, d):
 @query(f"""WITH p AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_returnflag AS f, l_quantity AS v FROM lineitem)
  SELECT date, round(avg(v) FILTER (f = 'A'), 6) AS "A", round(avg(v) FILTER (f = 'N'), 6) AS "N", round(avg(v) FILTER (f = 'R'), 6) AS "R" FROM p GROUP BY 1""")
 def a16_price_pivot(s, d):
-    x = read(s, d, "lineitem").groupBy(to_period("l_shipdate", "M").alias("date")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.avg("l_quantity"))
-    return r6(x, "A", "N", "R")
+    x = read(s, d, "lineitem").select(to_period("l_shipdate", "M").alias("date"), "l_returnflag", "l_quantity")
+    return r6(price_pivot(x, "l_quantity", ["A", "N", "R"], "l_returnflag"), "A", "N", "R")
 
 
 # ---- cross-section, summaries -----------------------------------------------------------------------------------------

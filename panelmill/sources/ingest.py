@@ -164,3 +164,28 @@ class Store:
             if max_age_days is None or age <= max_age_days:
                 return self.read("cache", name)
         return self.write("cache", name, df)
+
+
+def save_ranks(spark: SparkSession, ranks: DataFrame, schema: str, table: str) -> str:
+    """Persist a ranking as a catalog table, clustered by date so that date ranges skip files."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+    ranks.repartitionByRange("date").sortWithinPartitions("date").write.format("parquet").mode("overwrite").saveAsTable(f"{schema}.{table}")
+    return f"{schema}.{table}"
+
+
+def build_universe(
+    store: Store, ranks: DataFrame, source: str, max_rank: int, min_rank: int = 1, start_date: str = "1980-01-01", link: Callable | None = None
+) -> DataFrame:
+    """Cut a ranking to a rank range after a date, optionally link it (DataFrame -> DataFrame), and persist it by name."""
+    from panelmill.operators.membership import ranked_universe
+
+    u = ranked_universe(ranks, max_rank, min_rank, start_date)
+    return store.write("universe", store.universe_name(source, max_rank, min_rank), link(u) if link else u, "date")
+
+
+def build_fund_universe(store: Store, holdings: DataFrame, days: DataFrame, portno: int, link: Callable | None = None) -> DataFrame:
+    """Persist one fund's holdings on every calendar day; they are read back by Store.fund_universe."""
+    from panelmill.operators.membership import holdings_universe
+
+    u = holdings_universe(holdings.where(F.col("crsp_portno") == portno), days, "crsp_portno", "permno")
+    return store.write("fund", f"ETF_{portno}", link(u) if link else u, "date")

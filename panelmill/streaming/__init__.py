@@ -1 +1,2 @@
-
+"""No streaming operator: the survey found none to match. Closed dates of a stream can be fed to the batch operators
+through foreachBatch, as each of them works date by date."""

@@ -495,3 +495,30 @@ def test_portals(spark):
     assert rows(SectorPortal(q, "*").group_information) == [(1, 45), (2, -1)]
     g = TimeVaryingGroups(spark.createDataFrame([(1, D(0), 5), (1, D(2), 6)], "id int, since date, grp int"))
     assert rows(g.at(spark.createDataFrame([(1, D(-1)), (1, D(1)), (1, D(3))], "id int, date date"))) == [(1, D(-1), None), (1, D(1), "5"), (1, D(3), "6")]
+
+
+def test_build_and_persist_universes(spark, tmp_path):
+    from panelmill.sources.ingest import build_fund_universe, build_universe, save_ranks
+
+    s = Store(spark, f"file://{tmp_path}/u")
+    ranks = spark.createDataFrame([(D(i), k, k) for i in range(3) for k in (1, 2, 3)], "date date, permno int, ttm_mc_rank int")
+    assert build_universe(s, ranks, "crsp", 2, start_date=str(D(0))).count() == 4 and s.built_universe("CRSP_US_2").count() == 4
+    assert build_universe(s, ranks, "crsp", 3, 3, "2000-01-01", lambda u: u.withColumn("x", F.lit(1))).columns[-1] == "x"
+    h = spark.createDataFrame([(D(0), 7, 1), (D(2), 7, 2), (D(0), 8, 3)], "date date, crsp_portno int, permno int")
+    build_fund_universe(s, h, spark.createDataFrame([(D(i),) for i in range(4)], "date date"), 7)
+    assert rows(s.fund_universe(7, str(D(0)), str(D(3))).select("date", "permno")) == [(D(1), 1), (D(2), 2)]
+    drop_schema(spark, "mill_ranks")
+    assert spark.table(save_ranks(spark, ranks, "mill_ranks", "mc")).count() == 9
+    drop_schema(spark, "mill_ranks")
+
+
+def test_pivot_and_clean_factor(spark):
+    from panelmill.operators.panel import clean_factor, price_pivot
+
+    df = spark.createDataFrame([("20240102", "a", 1.0), ("20240102", "a", 3.0), ("20240102", "b", float("nan")), ("20240103", "b", 4.0)], "date string, symbol string, x double")
+    assert rows(price_pivot(df, "x", ["a", "b"], date_format="%Y%m%d")) == [(dt.date(2024, 1, 2), 2.0, None), (dt.date(2024, 1, 3), None, 4.0)]
+    with pytest.warns(UserWarning, match="0.25 duplicates, 1 rows"):
+        got = clean_factor(df, "x", max_loss=0.5, date_format="%Y%m%d")
+    assert rows(got) == [(dt.date(2024, 1, 2), "a", 1.0), (dt.date(2024, 1, 3), "b", 4.0)]
+    with pytest.raises(ValueError, match="date_format"):
+        price_pivot(df, "x", ["a"])
