@@ -31,7 +31,7 @@ def stand_ins(cells: DataFrame, group: list[str], date: str, jump: float = 3.0,
     and after it. A value is a stand-in if at least `least` securities vote for it (one, if it is written in
     nines only or is a power of ten) and they are at least `share` of the securities that have it. Genuine
     values either last for more than a reading or are one security's own. In a second count, places between
-    values of the first count give no vote: a genuine reading among stand-ins stands alone as well.
+    values of the first count give no vote, unless for nines: a genuine reading among stand-ins stands alone as well.
 
     cells: group, date, field, value > 0 and finite. All counts are over all rows. The readings that stand alone
     are few; they are written once, and only their values are looked up in all cells again.
@@ -45,16 +45,17 @@ def stand_ins(cells: DataFrame, group: list[str], date: str, jump: float = 3.0,
         return df.select(*group, "field", "value").distinct().groupBy("field", "value").agg(F.count("*").alias("_votes"))
 
     digits = F.regexp_replace(F.format_string("%.6f", F.col("value")), r"\.?0+$", "")
-    nines = digits.rlike(r"^9{2,}(\.9+)?$") | digits.rlike(r"^10*$") | digits.rlike(r"^0\.0*1$")
-    enough = (F.col("_votes") >= F.when(nines, 1).otherwise(least)) & (F.col("_votes") >= share * F.col("_has"))
+    nines = digits.rlike(r"^9{2,}0*(\.9+)?$")
+    typical = nines | digits.rlike(r"^10*$") | digits.rlike(r"^0\.0*1$")
+    enough = (F.col("_votes") >= F.when(typical, 1).otherwise(least)) & (F.col("_votes") >= share * F.col("_has"))
     first = votes(alone)
     has = cells.join(_small(first.select("field", "value")), ["field", "value"], "left_semi").select(*group, "field", "value").distinct()
     first = written(first.join(has.groupBy("field", "value").agg(F.count("*").alias("_has")), ["field", "value"]).where(enough), "voted")
     clear = alone
     for side in ("_before", "_after"):
         clear = clear.join(_small(first.select("field", F.col("value").alias(side))), ["field", side], "left_anti")
-    second = votes(clear).join(first.select("field", "value", "_has"), ["field", "value"])
-    return second.where(enough).select("field", "value", F.lit(True).alias("_stand_in"))
+    second = first.select("field", "value", "_has").join(votes(clear), ["field", "value"], "left")
+    return second.where(nines | enough).select("field", "value", F.lit(True).alias("_stand_in"))
 
 
 def _fit(rows: DataFrame, by: list[str], y: Column, t: Column, tag: str) -> DataFrame:
