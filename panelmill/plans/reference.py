@@ -304,6 +304,12 @@ def sk10_j7_linked_universe(s, d):
     return link_permno(u, read(s, d, "crsp_cstat_link"), read(s, d, "crsp_ibes_link"))
 
 
+def _days_of(s, d, x: DataFrame, date: str) -> DataFrame:
+    """The calendar from the first to the last date of a table."""
+    lo, hi = (x.agg(f(F.to_date(date))).scalar() for f in (F.min, F.max))
+    return calendar(s, d).where(F.col("date").between(lo, hi))
+
+
 _DAYS = "dz AS (SELECT trading_days AS date FROM trading_cal WHERE trading_days BETWEEN '1995-01-01' AND '1996-12-31')"
 
 
@@ -315,6 +321,20 @@ def j8_sk13_holdings_universe(s, d):
     return holdings_universe(h, calendar(s, d).where("date BETWEEN '1995-01-01' AND '1996-12-31'"), "fund", "id")
 
 
+_SHIPPED = "(SELECT CAST({}(l_shipdate) AS DATE) FROM lineitem)"
+
+
+@query(f"""WITH dz AS (SELECT trading_days AS date FROM trading_cal WHERE trading_days BETWEEN {_SHIPPED.format("min")} AND {_SHIPPED.format("max")}),
+ h AS (SELECT DISTINCT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS snap, l_returnflag AS fund, l_suppkey AS id FROM lineitem),
+ sp AS (SELECT fund, snap, coalesce(lead(snap) OVER (PARTITION BY fund ORDER BY snap) - 1, {_SHIPPED.format("max")}) AS until FROM (SELECT DISTINCT fund, snap FROM h))
+ SELECT dz.date, h.fund, h.id FROM sp JOIN dz ON dz.date BETWEEN sp.snap AND sp.until JOIN h ON h.fund = sp.fund AND h.snap = sp.snap""")
+def j8_sk13_holdings_universe_whole(s, d):
+    """All holdings, on every trading day from the first to the last ship date."""
+    x = read(s, d, "lineitem")
+    h = x.select(to_period("l_shipdate", "Q").alias("date"), F.col("l_returnflag").alias("fund"), F.col("l_suppkey").alias("id"))
+    return holdings_universe(h, _days_of(s, d, x, "l_shipdate"), "fund", "id")
+
+
 _MEMB = f"""{_DAYS}, iv AS (SELECT o_custkey AS id, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS z FROM orders GROUP BY 1),
  mm AS (SELECT dz.date, iv.id FROM iv JOIN dz ON dz.date BETWEEN iv.a AND iv.z)"""
 
