@@ -358,6 +358,31 @@ def j10_adjust_for_membership(s, d):
     return a.adjust_data_for_membership(data.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")))
 
 
+_ORDERED = "(SELECT CAST({}(o_orderdate) AS DATE) FROM orders)"
+_MEMB_ALL = f"""dz AS (SELECT trading_days AS date FROM trading_cal WHERE trading_days BETWEEN {_ORDERED.format("min")} AND {_ORDERED.format("max")}),
+ iv AS (SELECT o_custkey AS id, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS z FROM orders GROUP BY 1),
+ mm AS (SELECT dz.date, iv.id FROM iv JOIN dz ON dz.date BETWEEN iv.a AND iv.z)"""
+
+
+@query(f"WITH {_MEMB_ALL} SELECT date, id FROM mm")
+def j9_interval_members_whole(s, d):
+    """Memberships over the whole range of the orders."""
+    return members_by_interval(_intervals(s, d), _days_of(s, d, read(s, d, "orders"), "o_orderdate"), "id")
+
+
+@query(f"""WITH {_MEMB_ALL}, x AS (SELECT o_custkey AS id, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1, 2)
+ SELECT mm.date, mm.id, x.total FROM mm LEFT JOIN x ON x.id = mm.id AND x.date = mm.date""")
+def j10_adjust_for_membership_whole(s, d):
+    """Order totals of every member day over the whole range of the orders."""
+    orders = read(s, d, "orders").withColumn("_d", F.to_date("o_orderdate"))
+    lo, hi = orders.agg(F.min("_d"), F.max("_d")).first()
+    a = MembershipAdjuster(s, "id")
+    # without orders any range will do
+    a.add_universe_info(_intervals(s, d), str(lo or "1900-01-01"), str(hi or "1900-01-01"), calendar(s, d))
+    data = orders.groupBy(F.col("_d").alias("date"), F.col("o_custkey").alias("id"))
+    return a.adjust_data_for_membership(data.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")))
+
+
 @query(f"""WITH {_STC} SELECT u.date, u.permno, st.prc FROM (SELECT date, permno FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20 AND date > '2024-03-01' AND date < '2024-08-01') u
  LEFT JOIN st ON st.date = u.date AND st.permno = u.permno""")
 def j11_j12_long_universe(s, d):

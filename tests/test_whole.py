@@ -32,3 +32,17 @@ def test_holdings_of_any_quantity_and_year(spark, tmp_path):
             last = max((q for q, f, _ in held if f == fund and q <= day), default=None)
             want += [(day, fund, i) for q, f, i in held if f == fund and q == last]
     assert rows(entry.queries()["j8_sk13_holdings_universe_whole"](spark, d), "date", "fund", "id") == sorted(want)
+
+
+def test_members_and_totals_after_1996(spark, tmp_path):
+    orders = [(1, T(1995, 3, 1), 5.0), (1, T(1997, 1, 3), 7.5), (2, T(1999, 8, 2), 1.25), (2, T(1999, 8, 2), 2.0), (2, T(1999, 8, 5), 4.0)]
+    days = every_day(dt.date(1994, 12, 1), dt.date(2001, 12, 31))
+    d = tables(spark, tmp_path, orders=(orders, "o_custkey long, o_orderdate timestamp, o_totalprice double"), trading_cal=([(x,) for x in days if x.weekday() < 5], "trading_days date"))
+    spans = {1: (dt.date(1995, 3, 1), dt.date(1997, 1, 3)), 2: (dt.date(1999, 8, 2), dt.date(1999, 8, 5))}
+    want = sorted((day, i) for i, span in spans.items() for day in every_day(*span) if day.weekday() < 5)
+    assert rows(entry.queries()["j9_interval_members_whole"](spark, d), "date", "id") == want
+    x = entry.queries()["j10_adjust_for_membership_whole"](spark, d)
+    assert rows(x, "date", "id") == want
+    assert rows(x.where("total IS NOT NULL"), "date", "id", "total") == [
+        (dt.date(1995, 3, 1), 1, 5.0), (dt.date(1997, 1, 3), 1, 7.5), (dt.date(1999, 8, 2), 2, 3.25), (dt.date(1999, 8, 5), 2, 4.0),
+    ]
