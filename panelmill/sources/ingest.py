@@ -26,13 +26,16 @@ def alter_types(df: DataFrame, types: dict) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, rows_to_interpret: int = 5000, schema: str | None = None) -> DataFrame:
-    """A CSV file with header; types from a schema or inferred from the first rows, never by a scan of the whole file."""
+    """A CSV file with header; types from a schema or inferred from the first rows, never by a scan of the whole file.
+
+    A later row that does not fit the inferred types is an error: more rows_to_interpret or a schema then takes it in.
+    """
     if schema:
         return spark.read.csv(path, header=True, schema=schema)
     # the header is repeated in the sample, so that inference sees a complete file
     sample = spark.read.text(path).limit(rows_to_interpret + 1)
     inferred = spark.read.csv(sample.rdd.map(lambda r: r[0]), header=True, inferSchema=True).schema
-    return spark.read.csv(path, header=True, schema=inferred)
+    return spark.read.csv(path, header=True, schema=inferred, mode="FAILFAST")
 
 
 def shape(spark: SparkSession, spec: dict, rows_to_interpret: int = 5000) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import datetime as dt
 
+import pytest
+
 import __spark_entry__ as entry
+from panelmill.sources.ingest import read_csv, shape
 
 T = lambda y, m, d: dt.datetime(y, m, d)
 
@@ -46,3 +49,15 @@ def test_members_and_totals_after_1996(spark, tmp_path):
     assert rows(x.where("total IS NOT NULL"), "date", "id", "total") == [
         (dt.date(1995, 3, 1), 1, 5.0), (dt.date(1997, 1, 3), 1, 7.5), (dt.date(1999, 8, 2), 2, 3.25), (dt.date(1999, 8, 5), 2, 4.0),
     ]
+
+
+@pytest.mark.parametrize("late", ["12.5", "A1"])
+def test_csv_cells_beyond_the_inferred_type_are_not_lost(spark, tmp_path, late):
+    src = tmp_path / "in.csv"
+    src.write_text("k,x\n" + "".join(f"{i},{i}\n" for i in range(6000)) + f"6000,{late}\n")
+    spec = {"schema": "mill_late", "table": "t", "file_path": str(src)}
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        shape(spark, spec).collect()
+    for x in (shape(spark, spec | {"rows_to_interpret": 7000}), shape(spark, spec | {"csv_schema": "k int, x string"})):
+        assert x.count() == 6001 and x.where("x IS NULL").count() == 0 and str(x.where("k = 6000").first()["x"]) == late
+    assert read_csv(spark, str(src), 7000).columns == ["k", "x"]
