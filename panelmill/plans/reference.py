@@ -166,6 +166,13 @@ def sc7_j1_asset_list(s, d):
     return q(s, d).query_timeseries_table("crsp.raw", ["prc"], [10001, 10002, 10007], "permno", adjust=False).df
 
 
+@query("SELECT date, permno, prc FROM crsp_sd WHERE permno IS NOT NULL")
+def sc7_j1_asset_list_whole(s, d):
+    """The list is that of all ids of the table."""
+    ids = [r[0] for r in read(s, d, "crsp_sd").select("permno").dropna().distinct().collect()]
+    return q(s, d).query_timeseries_table("crsp.raw", ["prc"], ids, "permno", adjust=False).df
+
+
 _PX = f"""{_STC}, dz AS (SELECT trading_days AS date FROM trading_cal WHERE trading_days BETWEEN '2024-01-01' AND '2024-12-31'),
  p0 AS (SELECT st.date, permno AS id, abs(prc / nullif(cfacpr, 0)) AS price FROM st JOIN dz ON dz.date = st.date),
  pm AS (SELECT date, id, CASE WHEN isfinite(price) THEN price END AS price FROM p0 WHERE price IS NOT NULL AND NOT isnan(price))"""

@@ -61,3 +61,15 @@ def test_csv_cells_beyond_the_inferred_type_are_not_lost(spark, tmp_path, late):
     for x in (shape(spark, spec | {"rows_to_interpret": 7000}), shape(spark, spec | {"csv_schema": "k int, x string"})):
         assert x.count() == 6001 and x.where("x IS NULL").count() == 0 and str(x.where("k = 6000").first()["x"]) == late
     assert read_csv(spark, str(src), 7000).columns == ["k", "x"]
+
+
+def test_asset_list_of_all_ids(spark, tmp_path):
+    day = dt.date(2024, 1, 2)
+    daily = [(day + dt.timedelta(k), i, i + k / 2, 1.0, 1.0, 1.0, 11, T(2024, 2, 1)) for i in range(1200) for k in (0, 1)]
+    schema = "date date, permno int, prc double, shrout double, cfacpr double, cfacshr double, shrcd int, loaded_at timestamp"
+    cstat = ([], "gvkey string, iid string, date date, prccd double, cshoc double, ajexdi double, loaded_at timestamp")
+    d = tables(
+        spark, tmp_path, crsp_sd=(daily, schema), cstat_sd=cstat, crsp_cstat_link=([], "lpermno int"), trading_cal=([], "trading_days date"),
+        temp_rank_crsp_mc=([], "date date, permno int, ttm_mc_rank int"),
+    )
+    assert rows(entry.queries()["sc7_j1_asset_list_whole"](spark, d), "date", "permno", "prc") == sorted(x[:3] for x in daily)
