@@ -156,6 +156,31 @@ def sc3_universe_scan(s, d):
     return q(s, d).query_universe_table("TOP_20", ["permno"], "2024-02-01", "2024-05-31").distinct().df
 
 
+_TOP = "(SELECT {}(date) FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20)"
+
+
+def _span(x: DataFrame) -> tuple[str, str]:
+    """First and last date; any range will do where there is none."""
+    lo, hi = x.agg(F.min("date"), F.max("date")).first()
+    return str(lo or "1900-01-01"), str(hi or "1900-01-01")
+
+
+@query(f"""WITH {_STC} SELECT date, permno, round(abs(prc / nullif(cfacpr, 0)), 6) AS prc, round(shrout * cfacshr, 6) AS shrout FROM st
+ WHERE permno IN (SELECT permno FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20 AND date BETWEEN (SELECT min(date) FROM crsp_sd) AND (SELECT max(date) FROM crsp_sd))
+ AND date IS NOT NULL""")
+def sc1_sc6_adjusted_scan_of_universe_whole(s, d):
+    """From the first to the last date of the daily file."""
+    x = q(s, d).query_timeseries_table("crsp.sd", ["prc", "shrout"], "TOP_20", "permno", *_span(read(s, d, "crsp_sd")))
+    return r6(x.df, "prc", "shrout")
+
+
+@query(f"SELECT DISTINCT date, permno FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20 AND date BETWEEN {_TOP.format('min')} AND {_TOP.format('max')}")
+def sc3_universe_scan_whole(s, d):
+    """From the first to the last date of the universe, both included."""
+    x = q(s, d)
+    return x.query_universe_table("TOP_20", ["permno"], *_span(x.universes["TOP_20"])).distinct().df
+
+
 @query("SELECT lpermno, gvkey, gsector FROM crsp_cstat_link")
 def sc4_table_without_dates(s, d):
     return q(s, d).query_no_date_table("link.crsp_cstat_link", ["gvkey", "gsector"], "*", "lpermno").df
@@ -398,6 +423,15 @@ def j11_j12_long_universe(s, d):
     return a.adjust_data_for_membership(crsp(s, d, "prc").select("date", "permno", "prc"))
 
 
+@query(f"""WITH {_STC} SELECT u.date, u.permno, st.prc FROM (SELECT date, permno FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20 AND date > {_TOP.format('min')} AND date < {_TOP.format('max')}) u
+ LEFT JOIN st ON st.date = u.date AND st.permno = u.permno""")
+def j11_j12_long_universe_whole(s, d):
+    """Between the first and the last date of the universe, both excluded, as always with this operator."""
+    a, universes = MembershipAdjuster(s, "permno"), q(s, d).universes
+    a.add_universe_info_from_db("TOP_20", universes, *_span(universes["TOP_20"]))
+    return a.adjust_data_for_membership(crsp(s, d, "prc").select("date", "permno", "prc"))
+
+
 @query(f"WITH {_AL} SELECT date, id, round(ret, 6) AS ret, ntile FROM al")
 def j13_alignment(s, d):
     return r6(pm_aligned(s, d).select("date", "id", "ret", "ntile"), "ret")

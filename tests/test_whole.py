@@ -63,13 +63,27 @@ def test_csv_cells_beyond_the_inferred_type_are_not_lost(spark, tmp_path, late):
     assert read_csv(spark, str(src), 7000).columns == ["k", "x"]
 
 
-def test_asset_list_of_all_ids(spark, tmp_path):
-    day = dt.date(2024, 1, 2)
-    daily = [(day + dt.timedelta(k), i, i + k / 2, 1.0, 1.0, 1.0, 11, T(2024, 2, 1)) for i in range(1200) for k in (0, 1)]
+def daily_tables(spark, tmp_path, daily, ranks):
     schema = "date date, permno int, prc double, shrout double, cfacpr double, cfacshr double, shrcd int, loaded_at timestamp"
     cstat = ([], "gvkey string, iid string, date date, prccd double, cshoc double, ajexdi double, loaded_at timestamp")
-    d = tables(
+    return tables(
         spark, tmp_path, crsp_sd=(daily, schema), cstat_sd=cstat, crsp_cstat_link=([], "lpermno int"), trading_cal=([], "trading_days date"),
-        temp_rank_crsp_mc=([], "date date, permno int, ttm_mc_rank int"),
+        temp_rank_crsp_mc=(ranks, "date date, permno int, ttm_mc_rank int"),
     )
+
+
+def test_universe_over_the_whole_year(spark, tmp_path):
+    a, b, c = dt.date(2024, 1, 5), dt.date(2024, 9, 2), dt.date(2024, 12, 30)
+    daily = [(x, i, -4.0, 2.0, 2.0, 3.0, 11, T(2025, 2, 1)) for x in (dt.date(2024, 1, 2), a, b, c) for i in (1, 2)]
+    d = daily_tables(spark, tmp_path, daily, [(a, 1, 1), (b, 1, 20), (c, 1, 3), (b, 2, 21)])
+    run = lambda name, *cols: rows(entry.queries()[name](spark, d), *cols)
+    assert run("sc1_sc6_adjusted_scan_of_universe_whole", "date", "permno", "prc", "shrout") == [(x, 1, 2.0, 6.0) for x in (dt.date(2024, 1, 2), a, b, c)]
+    assert run("sc3_universe_scan_whole", "date", "permno") == [(a, 1), (b, 1), (c, 1)]
+    assert run("j11_j12_long_universe_whole", "date", "permno", "prc") == [(b, 1, -4.0)]
+
+
+def test_asset_list_of_all_ids(spark, tmp_path):
+    day = dt.date(2024, 1, 2)
+    daily = [(day + dt.timedelta(k), i, i + k / 2, 1.0, 1.0, 1.0, 11, T(2024, 2, 1)) for i in range(1200) for k in (0, 1)]
+    d = daily_tables(spark, tmp_path, daily, [])
     assert rows(entry.queries()["sc7_j1_asset_list_whole"](spark, d), "date", "permno", "prc") == sorted(x[:3] for x in daily)
