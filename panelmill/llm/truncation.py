@@ -15,8 +15,6 @@ LEAST_AT_LIMIT, TIMES_AROUND, DEVIATIONS, AROUND = 5, 12.0, 8.0, 50
 LEAST_TRAILERS, TRAILER_SHARE, TRAILER_SHARE_ALL, TRAILER_LENGTH = 3, 0.02, 0.001, 80
 #: Up to this many sources the per-source findings are broadcast (200 short lines each at most).
 MAX_BROADCAST_SOURCES = 1000
-#: Characters of the ending that are inspected; the lengths are those of the whole text.
-ENDING = 1500
 
 
 def _count(c: Column, what: str) -> Column:
@@ -70,10 +68,10 @@ METRICS = [
 
 
 def text_features(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """Per text: its lengths under all metrics and its ending, line ends as \\n and trailing white space removed."""
+    """Per text: its lengths under all metrics and the whole of it as _end, line ends as \\n and trailing white space removed."""
     m = length_metrics()
     base = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    end = _trim_end(F.replace(F.expr(f"right(_text, {ENDING})"), F.lit("\r\n"), F.lit("\n")))
+    end = _trim_end(F.replace(F.col("_text"), F.lit("\r\n"), F.lit("\n")))
     counted = base.select("_k", "_s", F.xxhash64("_text").alias("_h"), end.alias("_end"), *[c.alias(n) for n, c in length_counts("_text").items()])
     return counted.select("_k", "_s", "_h", F.array(*[m[x].cast("int") for x in METRICS]).alias("_len"), "_end")
 
@@ -124,6 +122,14 @@ def _line_is_apart(c: str) -> Column:
     return marked | F.expr(f"right({_without_last_line(c)}, 40)").rlike(r"^$|\n[ \t]*\n$")
 
 
+def _without_trailers() -> Column:
+    """_end up to its last line that is neither empty nor one of _trailers."""
+    lines = F.split("_end", "\n")
+    stays = lambda line: (_trim_end(line) != "") & ~F.array_contains("_trailers", F.trim(_trim_end(line)))
+    last = F.array_max(F.transform(lines, lambda line, i: F.when(stays(line), i + 1).otherwise(0)))
+    return _trim_end(F.array_join(F.slice(lines, 1, last), "\n"))
+
+
 def _ends_whole() -> Column:
     """The ending closes a unit: an environment, a sentence, a display formula, a reference, an include.
 
@@ -153,7 +159,7 @@ def cut_texts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     the text that recur over the texts of the source or of all sources; they are found from all texts that lie
     on no limit. Empty and null texts are not cut; a null source is a source of its own.
 
-    The whole texts are scanned once; lengths and endings are written to the shared folder and serve the
+    The whole texts are read once; they and their lengths are written to the shared folder and serve the
     histograms, the trailers and the decision. Findings per source are small (broadcast only up to 1000
     sources, else joined by shuffle).
     """
@@ -182,11 +188,7 @@ def cut_texts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     x = at.join(side(per_lines), "_s", "left").withColumn(
         "_trailers", F.array_union(F.coalesce("_own", F.array().cast("array<string>")), F.array(*[F.lit(s) for s in sorted(general)]).cast("array<string>"))
     )
-    for k in range(3):
-        line = F.trim(_last_line("_end"))
-        is_trailer = F.array_contains("_trailers", line)
-        rest = _trim_end(F.expr(_without_last_line("_end")))
-        x = x.withColumn("_end", F.when(is_trailer, rest).otherwise(F.col("_end")))
+    x = x.withColumn("_end", F.when(F.array_contains("_trailers", F.trim(_last_line("_end"))), _without_trailers()).otherwise(F.col("_end")))
     final = F.col("_end").rlike(r"\\end\{(document|thebibliography)\}$|\\bibliography\{[^{}\n]*\}$")
     by_limit = F.col("_hit").isNotNull() & ~final
     x = _with_ending_parts(x)
