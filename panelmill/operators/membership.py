@@ -129,8 +129,9 @@ def fund_id(summary: DataFrame, ticker: str | None = None, portno: int | None =
         return portno
     if ticker is None:
         raise ValueError("Either a ticker or a portfolio number must be given")
-    got = summary.where(F.col("ticker") == ticker).select("crsp_portno", "fund_name").distinct().limit(20).collect()
-    ids = sorted({r[0] for r in got if r[0] is not None})
+    funds = summary.where((F.col("ticker") == ticker) & F.col("crsp_portno").isNotNull()).groupBy("crsp_portno").agg(F.min("fund_name"))
+    got = funds.orderBy("crsp_portno").limit(20).collect()
+    ids = [r[0] for r in got]
     if not ids:
         raise ValueError(f"Ticker {ticker} is not known")
     if len(ids) > 1:

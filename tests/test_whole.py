@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 import __spark_entry__ as entry
+from panelmill.operators.membership import fund_id
 from panelmill.sources.ingest import read_csv, shape
 
 T = lambda y, m, d: dt.datetime(y, m, d)
@@ -87,3 +88,12 @@ def test_asset_list_of_all_ids(spark, tmp_path):
     daily = [(day + dt.timedelta(k), i, i + k / 2, 1.0, 1.0, 1.0, 11, T(2024, 2, 1)) for i in range(1200) for k in (0, 1)]
     d = daily_tables(spark, tmp_path, daily, [])
     assert rows(entry.queries()["sc7_j1_asset_list_whole"](spark, d), "date", "permno", "prc") == sorted(x[:3] for x in daily)
+
+
+def test_fund_with_many_names_is_still_ambiguous(spark):
+    names = [(1, "X", f"name {k}") for k in range(40)]
+    funds = lambda data: spark.createDataFrame(data, "crsp_portno int, ticker string, fund_name string").coalesce(1)
+    assert fund_id(funds(names), "X") == 1
+    for k in range(2, 12):
+        with pytest.raises(ValueError, match=f"1 name 0; {k} other"):
+            fund_id(funds([*names, (k, "X", "other")]), "X")
