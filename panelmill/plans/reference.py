@@ -799,6 +799,47 @@ def t7_ic_horizon_report(s, d):
     return n.ntile_ic_horizon(f, [1, 3, 6])["horizon"]["summary"]
 
 
+def _long(report: dict) -> DataFrame:
+    """All outputs of a report as (report, output, date, series, value): a row per number; keys other than the date are in series, before the number's column."""
+    out = None
+    for name, outputs in report.items():
+        for output, x in outputs.items():
+            kinds = dict(x.dtypes)
+            keys = [c for c in x.columns if c != "date" and (c in ("pos", "id", "ntile", "grp", "series", "horizon") or kinds[c] == "string")]
+            values = [c for c in x.columns if c != "date" and c not in keys]
+            label = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in keys]
+            each = F.explode(F.array(*[F.struct(F.concat_ws(", ", *label, F.lit(c)).alias("series"), F.col(c).cast("double").alias("value")) for c in values]))
+            date = (F.col("date") if "date" in kinds else F.lit(None)).cast("date").alias("date")
+            x = x.select(F.lit(name).alias("report"), F.lit(output).alias("output"), date, each.alias("_x"))
+            x = x.select("report", "output", "date", "_x.series", "_x.value")
+            out = x if out is None else out.unionByName(x)
+    return r6(out, "value")
+
+
+@query()
+def t2_t3_full_report_whole(s, d):
+    n, f = _report(s, d)
+    return _long(n.full_tear(f, N, HP, show_uni=True, show_ntile_tilts=True))
+
+
+@query()
+def t4_inspection_report_whole(s, d):
+    n, f = _report(s, d)
+    return _long(n.ntile_inspection_tear(f, N))
+
+
+@query()
+def t5_ic_report_whole(s, d):
+    n, f = _report(s, d)
+    return _long(n.ntile_ic_tear(f, HP))
+
+
+@query()
+def t6_turnover_report_whole(s, d):
+    n, f = _report(s, d)
+    return _long(n.ntile_turnover_tear(f, N, HP))
+
+
 _FOLDS = f"""{_PM}, dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM pm)), n AS (SELECT count(*) AS n FROM dd),
  fo AS (SELECT i AS fold, i * 4 + 23 AS te, i * 4 + 23 - 24 + 1 AS ts, i * 4 + 23 + 3 AS ps, least(i * 4 + 23 + 3 + 3, n - 1) AS pe FROM n, (SELECT unnest(range(0, 1000)) AS i) WHERE i < (n - 24 - 2) / CAST(4 AS DOUBLE))"""
 

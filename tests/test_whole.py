@@ -1,6 +1,7 @@
 """Queries over the whole of their tables: rows that a cut would leave out come out."""
 
 import datetime as dt
+import os
 
 import pytest
 
@@ -8,6 +9,7 @@ import __spark_entry__ as entry
 from panelmill.operators.membership import fund_id
 from panelmill.sources.ingest import read_csv, shape
 
+SF = "/root/testdata/sf0.001"
 T = lambda y, m, d: dt.datetime(y, m, d)
 
 
@@ -97,3 +99,19 @@ def test_fund_with_many_names_is_still_ambiguous(spark):
     for k in range(2, 12):
         with pytest.raises(ValueError, match=f"1 name 0; {k} other"):
             fund_id(funds([*names, (k, "X", "other")]), "X")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_reports_run_all_their_outputs(spark):
+    q, got = entry.queries(), {}
+    for name in ("t2_t3_full_report", "t4_inspection_report", "t5_ic_report", "t6_turnover_report"):
+        for r in q[name + "_whole"](spark, SF).collect():
+            got.setdefault(name, {}).setdefault((r["report"], r["output"]), set()).add((r["date"], r["series"], r["value"]))
+    full = got["t2_t3_full_report"]
+    assert len(full) == 21 and {r for r, _ in full} == {"coverage", "inspection", "backtest", "ic", "turnover"}
+    for name, report in (("t4_inspection_report", "inspection"), ("t5_ic_report", "ic"), ("t6_turnover_report", "turnover")):
+        assert got[name] == {k: v for k, v in full.items() if k[0] == report}
+    returns = {(r["date"], f"series={r['series']}, ret", r["ret"]) for r in q["t2_t3_full_report"](spark, SF).collect()}
+    assert {x for x in full["backtest", "returns"] if "universe" not in x[1]} == returns
+    assert full["inspection", "count"] == {(r["date"], "count", r["count"]) for r in q["t4_inspection_report"](spark, SF).collect()}
+    assert full["turnover", "turnover"] == {(r["date"], f"ntile={r['ntile']}, turnover", r["turnover"]) for r in q["t6_turnover_report"](spark, SF).collect()}
