@@ -11,7 +11,7 @@ from panelmill.operators.impute import fill_by_matching
 from panelmill.operators.regular import to_grid
 from panelmill.operators.rolling import trailing_totals
 from panelmill.operators.spikes import flag_readings
-from panelmill.operators.standing import standing_rows
+from panelmill.operators.standing import standing_rows, standing_sql
 from panelmill.session import read
 
 CSTAT_FIELDS = ["prccd", "ajexdi", "cshoc"]
@@ -117,10 +117,8 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_fill, p2_found, p2_flags, p3_found, p3_grid, p4_found, p4_rolling, p5_found, p5_attributes)}
 
 
-_CSTAT = """st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gvkey, iid, date ORDER BY loaded_at DESC) AS rn
- FROM cstat_sd WHERE gvkey IS NOT NULL AND iid IS NOT NULL AND date IS NOT NULL) WHERE rn = 1)"""
-_CRSP = """st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY permno, date ORDER BY loaded_at DESC) AS rn
- FROM crsp_sd WHERE permno IS NOT NULL AND date IS NOT NULL) WHERE rn = 1)"""
+_CSTAT = standing_sql("cstat_sd", "gvkey, iid, date", ["prccd"], "st")
+_CRSP = standing_sql("crsp_sd", "permno, date", ["prc", "shrout"], "st")
 _ROLL = f"""WITH {_CRSP}, m AS (SELECT permno, date, CASE WHEN isfinite(prc) AND isfinite(shrout) THEN abs(prc) * shrout END AS mv FROM st),
  cal AS (SELECT permno, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS d FROM m GROUP BY permno),
  t AS (SELECT cal.permno, cal.d,

@@ -19,7 +19,7 @@ from panelmill.operators.cross import bucket_factor, ntile_columns, rank_columns
 from panelmill.operators.membership import MembershipAdjuster, holdings_universe, link_permno, market_cap_ranks, members_by_interval, ranked_universe
 from panelmill.operators.panel import clean_factor, finite_filter, positions, price_pivot
 from panelmill.operators.returns import aligned_panel, forward_returns, pad_extra_day, pct_change, rolling_sum, simple_returns
-from panelmill.operators.standing import standing_rows
+from panelmill.operators.standing import standing_rows, standing_sql
 from panelmill.operators.walkforward import LeastSquares, fold_table, walk_forward
 from panelmill.plans.tears import Ntile
 from panelmill.session import read, written
@@ -27,6 +27,9 @@ from panelmill.sources.portals import PricingPortal, SectorPortal
 from panelmill.sources.query import Query, forward_fill
 
 N, HP = 5, 3
+#: Value columns in the order that decides between rows of one key and loaded_at. A query that reads only the first few
+#: of them picks by these, and its values are the same.
+CRSP_FIELDS, CSTAT_FIELDS, ISSUE_FIELDS = ["prc", "shrout", "shrcd", "cfacpr", "cfacshr"], ["prccd", "cshoc", "ajexdi"], ["priusa", "fic", "tpci", "curcdd"]
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -87,9 +90,9 @@ def crsp(s, d, *cols: str) -> DataFrame:
 def q(s, d, freq: str = "D") -> Query:
     cal = read(s, d, "trading_cal").select(F.col("trading_days").alias("date"))
     tables = {
-        "crsp.sd": crsp(s, d, "prc", "shrout", "cfacpr", "cfacshr", "shrcd"),
+        "crsp.sd": crsp(s, d, *CRSP_FIELDS),
         "crsp.raw": read(s, d, "crsp_sd"),
-        "cstat.sd": standing_rows(read(s, d, "cstat_sd"), ["gvkey", "iid", "date"], ["prccd", "cshoc", "ajexdi"]).withColumn("id", F.concat("gvkey", F.lit("_"), "iid")),
+        "cstat.sd": standing_rows(read(s, d, "cstat_sd"), ["gvkey", "iid", "date"], CSTAT_FIELDS).withColumn("id", F.concat("gvkey", F.lit("_"), "iid")),
         "link.crsp_cstat_link": read(s, d, "crsp_cstat_link"),
         "calendar": cal,
     }
@@ -131,8 +134,11 @@ _FWD = """fw AS (SELECT date, id, CASE WHEN count(*) OVER w = {hp} THEN product(
   WINDOW w AS (PARTITION BY id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND {hp} FOLLOWING))"""
 _CORR = "CASE WHEN count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) > 1 THEN CASE WHEN isfinite(corr({x}, {y})) THEN corr({x}, {y}) END END"
 _IC = f"""{_PM}, {_RET}, {_FWD.format(hp=HP)}, ics AS (SELECT pm.date, {_CORR.format(x="pm.factor", y="fw.fwd")} AS ic FROM pm LEFT JOIN fw ON fw.date = pm.date AND fw.id = pm.id GROUP BY 1)"""
-_STC = """st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY permno, date ORDER BY loaded_at DESC) AS rn FROM crsp_sd) WHERE rn = 1)"""
-_STK = """sk AS (SELECT *, gvkey || '_' || iid AS kid FROM (SELECT *, row_number() OVER (PARTITION BY gvkey, iid, date ORDER BY loaded_at DESC) AS rn FROM cstat_sd) WHERE rn = 1)"""
+
+
+_STANDING_CRSP, _STANDING_CSTAT = [*CRSP_FIELDS, "vol"], [*CSTAT_FIELDS, *ISSUE_FIELDS]
+_STC = standing_sql("crsp_sd", "permno, date", _STANDING_CRSP, "st")
+_STK = standing_sql("cstat_sd", "gvkey, iid, date", _STANDING_CSTAT, "sk", ", gvkey || '_' || iid AS kid")
 _NN = "CASE WHEN NOT isnan({0}) THEN {0} END"
 
 
@@ -256,7 +262,7 @@ def j2_query_join(s, d):
 
 
 @query(f"""WITH {_STK}, dz AS (SELECT trading_days AS date FROM trading_cal WHERE trading_days BETWEEN '2024-01-01' AND '2024-12-31')
- SELECT dz.date, i.kid AS id, sk.prccd FROM (SELECT DISTINCT kid FROM sk) i CROSS JOIN dz LEFT JOIN sk ON sk.kid = i.kid AND sk.date = dz.date""")
+ SELECT dz.date, i.kid AS id, {_NN.format('sk.prccd')} AS prccd FROM (SELECT DISTINCT kid FROM sk) i CROSS JOIN dz LEFT JOIN sk ON sk.kid = i.kid AND sk.date = dz.date""")
 def j3_calendar_densify(s, d):
     return q(s, d).query_timeseries_table("cstat.sd", ["prccd"], "*", "id", "2024-01-01", "2024-12-31", adjust=False).set_calendar(calendar(s, d)).df
 
@@ -307,23 +313,27 @@ _RANK = f"""{_STC}, td AS (SELECT trading_days AS date FROM trading_cal),
 
 
 def _ranks(s, d):
-    """Market values are rounded to 4 digits before ranking, so that a difference in the order of summing can't turn a tie."""
     return market_cap_ranks(crsp(s, d, "prc", "shrout", "shrcd"), "permno", "prc", "shrout", calendar(s, d), "shrcd = 11")
 
 
-@query(f"WITH {_RANK} SELECT date, permno, round(ttm_min_prc, 6) AS ttm_min_prc, round(ttm_mc, 2) AS ttm_mc, ttm_mc_rank FROM rk")
+@query(f"WITH {_RANK} SELECT date, permno, ttm_min_prc, ttm_mc, ttm_mc_rank FROM rk")
 def w8_to_w11_market_cap_ranks(s, d):
-    return _ranks(s, d).withColumns({"ttm_min_prc": F.round("ttm_min_prc", 6), "ttm_mc": F.round("ttm_mc", 2)})
+    return _ranks(s, d)
+
+
+#: Primary common issues of domestic companies: the issue number, where it is one, is that of the primary issue.
+_PRIMARY = "fic = 'USA' AND tpci = '0' AND curcdd = 'USD' AND priusa = CASE WHEN {}(iid, '^[0-9]*$') THEN try_cast(iid AS INT) END"
 
 
 @query(f"""WITH {_STK}, td AS (SELECT trading_days AS date FROM trading_cal),
- lg AS (SELECT sk.date, kid, lag({_NN.format('prccd')}) OVER w AS p, lag({_NN.format('cshoc')}) OVER w AS n FROM sk JOIN td ON td.date = sk.date WINDOW w AS (PARTITION BY kid ORDER BY sk.date)),
- tm AS (SELECT date, kid, min(abs(p)) OVER w AS mp, avg(abs(p) * n) OVER w AS mc FROM lg WINDOW w AS (PARTITION BY kid ORDER BY date ROWS BETWEEN 252 PRECEDING AND CURRENT ROW)),
+ lg AS (SELECT sk.date, kid, iid, priusa, fic, tpci, curcdd, lag({_NN.format('prccd')}) OVER w AS p, lag({_NN.format('cshoc')}) OVER w AS n FROM sk JOIN td ON td.date = sk.date WINDOW w AS (PARTITION BY kid ORDER BY sk.date)),
+ tm AS (SELECT date, kid, min(abs(p)) OVER w AS mp, avg(abs(p) * n) OVER w AS mc FROM lg WHERE {_PRIMARY.format('regexp_full_match')} WINDOW w AS (PARTITION BY kid ORDER BY date ROWS BETWEEN 252 PRECEDING AND CURRENT ROW)),
  rk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mc DESC, kid) AS ttm_mc_rank FROM tm WHERE mp > 3 AND mc > 0)
  SELECT date, kid AS id, ttm_mc_rank FROM rk WHERE ttm_mc_rank BETWEEN 3 AND 20 AND date > '2024-02-01'""")
 def sk9_issue_universe(s, d):
-    x = q(s, d).tables["cstat.sd"]
-    r = market_cap_ranks(x, "id", "prccd", "cshoc", calendar(s, d), positive_only=True)
+    """Ranks among the primary domestic issues, from ranks and values of the row before."""
+    x = standing_rows(read(s, d, "cstat_sd"), ["gvkey", "iid", "date"], [*CSTAT_FIELDS, *ISSUE_FIELDS]).withColumn("id", F.concat("gvkey", F.lit("_"), "iid"))
+    r = market_cap_ranks(x, "id", "prccd", "cshoc", calendar(s, d), _PRIMARY.format("regexp_like"), positive_only=True)
     return ranked_universe(r, 20, 3, "2024-02-01").select("date", "id", "ttm_mc_rank")
 
 
@@ -553,7 +563,8 @@ def w4_ntile_columns(s, d):
 
 def _rank_sql(fn: str, tie: str = "") -> str:
     col = lambda c: f"CASE WHEN {_NN.format(c)} IS NOT NULL THEN {fn}() OVER (PARTITION BY date ORDER BY {_NN.format(c)} ASC NULLS LAST{tie}) END"
-    return f"WITH {_STC} SELECT date, permno, {col('prc')} AS prc, {col('vol')} AS vol FROM st"
+    st = standing_sql("crsp_sd", "permno, date", ["prc", "vol"], "st")
+    return f"WITH {st} SELECT date, permno, {col('prc')} AS prc, {col('vol')} AS vol FROM st"
 
 
 def _rank(kind: str):
@@ -643,10 +654,9 @@ def w17_autocorrelation(s, d):
     return r6(turnover.autocorrelation(pm_factor(s, d), HP), "autocorrelation")
 
 
-@query("""WITH x AS (SELECT gvkey, iid, CAST(date_trunc('month', date) AS DATE) AS m, date, loaded_at, prccd, cshoc FROM cstat_sd),
- y AS (SELECT *, row_number() OVER (PARTITION BY gvkey, iid, date ORDER BY loaded_at DESC) AS rn FROM x)
+@query(f"""WITH {_STK}, y AS (SELECT *, CAST(date_trunc('month', date) AS DATE) AS m FROM sk)
  SELECT gvkey, iid, m AS date, max_by(prccd, date) FILTER (prccd IS NOT NULL AND NOT isnan(prccd)) AS prccd, max_by(cshoc, date) FILTER (cshoc IS NOT NULL AND NOT isnan(cshoc)) AS cshoc
- FROM y WHERE rn = 1 GROUP BY 1, 2, 3""")
+ FROM y GROUP BY 1, 2, 3""")
 def g13_dt6_last_of_period(s, d):
     x = standing_rows(read(s, d, "cstat_sd"), ["gvkey", "iid", "date"], ["prccd", "cshoc"])
     return DateConfig("M", resample=True, grouper_keys=["gvkey", "iid"]).configure_dates(x, "date").select("gvkey", "iid", "date", "prccd", "cshoc")

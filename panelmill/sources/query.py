@@ -85,10 +85,12 @@ class Query:
         if isinstance(assets, DataFrame):
             return df.join(assets.select(search_by).distinct(), search_by, "left_semi")
         ids = list(dict.fromkeys(assets)) if isinstance(assets, Iterable) else [assets]
-        if len(ids) <= MAX_IN_LIST:
-            return df.where(F.col(search_by).isin(ids))
+        ids = [a for a in ids if a is not None]
+        # either way an id is taken in the column's own type, so that the length of the list changes nothing but the plan
         kind = df.schema[search_by].dataType
-        listed = self.spark.createDataFrame([(a,) for a in ids], "a " + ("string" if isinstance(ids[0], str) else "long")).select(F.col("a").cast(kind).alias(search_by))
+        if len(ids) <= MAX_IN_LIST:
+            return df.where(F.col(search_by).isin([F.lit(a).cast(kind) for a in ids])) if ids else df.where(F.lit(False))
+        listed = self.spark.createDataFrame([(str(a),) for a in ids], "a string").select(F.col("a").cast(kind).alias(search_by))
         return df.join(listed, search_by, "left_semi")
 
     @staticmethod
@@ -162,7 +164,7 @@ class Query:
     # ---- time ------------------------------------------------------------------------------------------------
 
     def set_calendar(self, calendar="NYSE") -> Query:
-        """One row per id and calendar day of the query's range, null where there was none; other days fall away.
+        """One row per id and calendar day of the query's range, null where there was none; other days fall away. NaN is null.
 
         'full' is every day, the end excluded. A DataFrame with a date column is taken as the calendar.
         """
@@ -173,7 +175,9 @@ class Query:
             if calendar.lower() == "full":
                 days = days.where(F.col("date") < F.to_date(F.lit(_full_date(self.end))))
         grid = dense_grid(self.df, days, id=self.id).drop("pos")
-        return self._with(grid.join(self.df, ["date", self.id], "left").select(*self.df.columns))
+        kinds = dict(self.df.dtypes)
+        seen = [F.nanvl(F.col(c), F.lit(None)).alias(c) if kinds[c] in ("double", "float") and c != self.id else F.col(c) for c in self.df.columns]
+        return self._with(grid.join(self.df, ["date", self.id], "left").select(*seen))
 
     def shift(self, column: str, days: int, new_name: str | None = None) -> Query:
         """The column `days` rows earlier per id."""

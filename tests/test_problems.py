@@ -34,6 +34,19 @@ def test_standing_rows_latest_copies_and_nulls(spark):
     assert standing_rows(df.limit(0), ["k", "date"], ["v"]).count() == 0
 
 
+def test_standing_rows_take_one_whole_row_of_a_tie(spark):
+    data = [(1, D(0), 5.0, 11, T(3)), (1, D(0), 5.0, None, T(3)), (1, D(0), None, 99, T(3)), (1, D(0), 9.0, 1, T(2)), (2, D(0), 1.0, 7, T(0)), (2, D(0), float("nan"), 3, T(0))]
+    data += [(k, D(0), float(v), 100 - v, T(1)) for k in range(3, 40) for v in range(5)]
+    want = None
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        df = spark.createDataFrame([data[i] for i in rng.permutation(len(data))], "k int, date date, v double, code int, loaded_at timestamp_ntz").repartition(5)
+        got = sorted((r["k"], str(r["v"]), r["code"]) for r in standing_rows(df, ["k", "date"], ["v", "code"]).collect())
+        want = want or got
+        assert got == want
+    assert got[:1] == [(1, "5.0", 11)] and (2, "nan", 3) in got and (7, "4.0", 96) in got
+
+
 # ---- trailing totals
 
 

@@ -396,6 +396,27 @@ def test_builder_adjusts_and_chains(spark):
         q.query_timeseries_table("crsp.sd", ["prc"], "NO_SUCH", "permno")
 
 
+@pytest.mark.parametrize("count", [0, 1, 1000, 1001])
+def test_id_lists_of_any_length_and_type(spark, count):
+    base = spark.range(3000).select(F.col("id").cast("int").alias("k"), F.date_add(F.lit(D(0)), F.col("id").cast("int")).alias("date"), F.col("id").cast("string").alias("s"))
+    base = base.withColumns({"ts": F.col("date").cast("timestamp_ntz"), "n": F.col("k").cast("decimal(12,2)"), "x": F.col("k") / 2})
+    q = Query(spark, {"t": base})
+    lists = {
+        "k": list(range(count)), "date": [D(i) for i in range(count)], "s": [str(i) for i in range(count)], "ts": [dt.datetime.combine(D(i), dt.time()) for i in range(count)],
+        "n": list(range(count)), "x": [i / 2 for i in range(count)],
+    }
+    for by, ids in lists.items():
+        got = q.query_no_date_table("t", ["k"], [*ids, None, *ids[:1]], by).df
+        assert sorted(r["k"] for r in got.collect()) == list(range(count)), by
+    assert q.query_no_date_table("t", ["k"], [str(i) for i in range(count)], "k").df.count() == count
+
+
+def test_calendar_makes_nan_null(spark):
+    t = spark.createDataFrame([(JAN[0], 1, float("nan")), (JAN[1], 1, 2.0)], "date date, id int, x double")
+    got = Query(spark, {"t": t}).query_timeseries_table("t", ["x"], "*", "id", str(JAN[0]), str(JAN[1]), adjust=False).set_calendar("NYSE").df
+    assert rows(got) == sorted([(JAN[0], 1, None), (JAN[1], 1, 2.0)], key=str)
+
+
 def test_builder_calendar_resample_and_fill(spark):
     t = spark.createDataFrame([(dt.date(2010, 1, 2), 1, 5.0), (dt.date(2010, 1, 6), 1, 7.0)], "date date, id int, x double")
     q = Query(spark, {"t": t}).query_timeseries_table("t", ["x"], "*", "id", "2010-01-02", "2010-01-12", adjust=False)
