@@ -6,6 +6,7 @@ import hashlib
 import re
 import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,14 +154,34 @@ class Store:
     # ---- query cache -----------------------------------------------------------------------------------------
 
     @staticmethod
-    def key(df: DataFrame) -> str:
-        """SHA-224 of the canonical optimised plan: equal queries share an entry whatever their column order in the text."""
-        plan = df._jdf.queryExecution().optimizedPlan().canonicalized().toString()
-        return hashlib.sha224(plan.encode()).hexdigest()
+    def key(df: DataFrame) -> str | None:
+        """SHA-224 of what decides the result: the canonical optimised plan in full, the result's names and types, and path,
+        length and time of every file that is read.
+
+        None where that can't be told: a plan over other sources than files, ranges and literal rows (an RDD, a
+        persisted frame), one that calls functions of the user's or is not deterministic.
+        """
+        qe = df._jdf.queryExecution()
+        with _whole_plan_strings(df.sparkSession):
+            plan = qe.optimizedPlan()
+            parts, text = [plan, *_seq(plan.subqueriesAll())], [df.schema.json()]
+            for p in parts:
+                if not p.deterministic() or re.search(r"expressions\.(PythonUDF|PythonUDAF|ScalaUDF|PythonUDTF)\b|\.ObjectProducer|\.MapElements", p.toJSON()):
+                    return None
+                text.append(p.canonicalized().toString())
+                for leaf in _seq(p.collectLeaves()):
+                    source = _source(leaf)
+                    if source is None:
+                        return None
+                    text.append(source)
+        return hashlib.sha224("\n".join(text).encode()).hexdigest()
 
     def cached(self, df: DataFrame, max_age_days: float | None = None) -> DataFrame:
-        """The stored result of the same plan, or the query's result, stored. Too old an entry is made anew."""
+        """The stored result of the same query over the same files, or the query's result, stored. Too old an entry is made
+        anew. A query without a key is returned as it is."""
         name = self.key(df)
+        if name is None:
+            return df
         if self.exists("cache", name):
             fs, p = self._fs(self.path("cache", name))
             age = (time.time() * 1000 - fs.getFileStatus(p).getModificationTime()) / 86_400_000
@@ -169,6 +190,39 @@ class Store:
         return self.write("cache", name, df)
 
 
+@contextmanager
+def _whole_plan_strings(spark: SparkSession):
+    """Plans print 25 fields of a list by default; a key needs all."""
+    name = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(2**31 - 1))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _seq(s) -> list:
+    return [s.apply(i) for i in range(s.size())]
+
+
+def _source(leaf) -> str | None:
+    """What a leaf of a plan reads, as text; None if that is not to be seen."""
+    kind = leaf.getClass().getSimpleName()
+    if kind in ("Range", "OneRowRelation"):
+        return leaf.toString()
+    if kind == "LocalRelation":
+        return leaf.data().toString()
+    if kind != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    at = leaf.relation().location()
+    if "allFiles" not in {m.getName() for m in at.getClass().getMethods()}:
+        return None
+    at.refresh()
+    options = leaf.relation().options().toString()
+    return leaf.relation().fileFormat().toString() + options + re.sub(r"access_time=\d+", "", at.allFiles().mkString("\n"))
+
+
 def save_ranks(spark: SparkSession, ranks: DataFrame, schema: str, table: str) -> str:
     """Persist a ranking as a catalog table, clustered by date so that date ranges skip files."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")

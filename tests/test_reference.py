@@ -501,10 +501,46 @@ def test_store(spark, tmp_path):
         s.built_universe("NO")
     s.write("fund", "ETF_7", df)
     assert s.fund_universe(7, str(D(0)), str(D(4))).count() == 3
-    a = s.cached(df.where("permno > 2"))
-    assert os.listdir(tmp_path / "store/cache") and rows(a) == rows(s.cached(df.where("permno > 2")))
+    s.clear("universe")
+    assert not s.exists("universe", name) and s.exists("fund", "ETF_7")
+
+
+def test_cache_tells_queries_and_files_apart(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    at = lambda name: f"file://{tmp_path}/{name}.parquet"
+    put = lambda name, first: spark.range(first, first + 5).select("id", *[(F.col("id") + i).alias(f"c{i}") for i in range(40)]).coalesce(1).write.mode("overwrite").parquet(at(name))
+    put("one", 0), put("two", 100)
+    one, two = (lambda: spark.read.parquet(at("one"))), (lambda: spark.read.parquet(at("two")))
+    names = [f"c{i}" for i in range(38)]
+    made = {
+        "one": one().select("id"), "two": two().select("id"), "renamed": one().select(F.col("id").alias("k")), "wide a": one().select(*names, "c38"),
+        "wide b": one().select(*names, "c39"), "filtered": one().where("id > 2").select("id"), "both": one().select("c0", "id").join(two().select("c0", "c9"), "c0", "full"),
+        "nested": one().where(F.col("id") <= two().agg(F.min("id")).scalar()).select("id"), "nested one": one().where(F.col("id") <= one().agg(F.min("id")).scalar()).select("id"),
+        "listed": one().where(F.col("id").isin(list(range(60)))).select("id"), "listed other": one().where(F.col("id").isin([*range(59), 77])).select("id"), "range": spark.range(4),
+        "range 5": spark.range(5),
+    }
+    keys = {k: s.key(x) for k, x in made.items()}
+    assert None not in keys.values() and len(set(keys.values())) == len(keys)
+    assert s.key(one().where("id > 2").select("id")) == keys["filtered"] == s.key(one().select("id").where("id > 2"))
+    for k, x in made.items():
+        want = rows(x)
+        assert rows(s.cached(x)) == want == rows(s.cached(x)), k
+    stored = len(os.listdir(tmp_path / "store/cache"))
+    assert stored == len(made)
+    # changed files: another key, and the new rows
+    put("one", 50)
+    assert s.key(one().select("id")) != keys["one"] and rows(s.cached(one().select("id"))) == [(i,) for i in range(50, 55)]
+    # an old entry is made anew; without a key nothing is stored
+    assert s.cached(spark.range(4), max_age_days=0).count() == 4
+    stored = len(os.listdir(tmp_path / "store/cache"))
+    plus = F.udf(lambda x: x + 1, "long")
+    held = two().select("id").persist()
+    for x in (spark.createDataFrame([(1,)], "k int"), spark.range(3).select(plus("id")), two().select(F.expr("uuid()")), held):
+        assert s.key(x) is None and s.cached(x) is x
+    held.unpersist()
+    assert len(os.listdir(tmp_path / "store/cache")) == stored
     s.clear("cache")
-    assert not s.exists("cache", s.key(df.where("permno > 2"))) and s.exists("universe", name)
+    assert not s.exists("cache", keys["two"])
 
 
 def test_portals(spark):
