@@ -33,18 +33,23 @@ def _day() -> Column:
     return F.date_format("date", "yyyy-MM-dd").alias("date")
 
 
-def p1_fill(spark: SparkSession, d: str) -> DataFrame:
-    """All cells of the standing rows with the filled value, the mark and the donor."""
+def p1_cells(spark: SparkSession, d: str) -> DataFrame:
+    """All cells of the standing rows with the filled value, the marks and the donor."""
     out = fill_by_matching(_cstat(spark, d, CSTAT_FIELDS), "gvkey", "iid", "date", CSTAT_FIELDS)
     return out.select(
-        _id(), _day(), "field", "delivered", "value", "filled",
+        _id(), _day(), "field", "delivered", "value", "filled", "unusable",
         F.concat("donor_company", F.lit("_"), "donor_issue").alias("donor_id"),
         F.date_format("donor_date", "yyyy-MM-dd").alias("donor_date"), "donor_level",
     )
 
 
+def p1_fill(spark: SparkSession, d: str) -> DataFrame:
+    return p1_cells(spark, d).drop("unusable")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_fill(spark, d).where("filled").select("id", "date", "field")
+    """The cells without a usable value, filled or, where the field has no usable value at all, not."""
+    return p1_cells(spark, d).where("unusable").select("id", "date", "field")
 
 
 def p2_flags(spark: SparkSession, d: str) -> DataFrame:

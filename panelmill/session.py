@@ -6,10 +6,15 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: A side is broadcast up to this many rows, which are counted first; beyond it the join is left to shuffle.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def get_spark(app: str = "panelmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,10 +37,13 @@ def get_spark(app: str = "panelmill", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) a folder of our own is made and set.
+    Where that setting is absent a folder of our own is made and set, but only if all executors are on this machine
+    (tests); elsewhere it is an error, as tables in a machine's own folder would be lost or incomplete.
     """
     at = spark.conf.get(CHECKPOINT_DIR, None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="panelmill-")
         spark.conf.set(CHECKPOINT_DIR, at)
         atexit.register(_remove, spark, at)
@@ -44,6 +52,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside the block are deleted at its end, by when its results must be stored or fetched.
+
+    Without it they stay until the driver ends, as the frames that read them may be run at any time.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -54,9 +79,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver ends."""
+    """A fresh path in the shared folder; it is removed at the end of the scratch() block, else when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return path
 
 
@@ -68,6 +96,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """df as a broadcast side if it has at most `most` rows, else as it is. Counting runs df: for written or tiny frames."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def fetched(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The rows of a frame that is bounded by its nature (dates, groups), run once and held as literal rows to be broadcast;
+    one with more than `most` rows is returned as it is."""
+    got = df.limit(most + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema)) if got.num_rows <= most else df
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Python workers find this package where it lies, whatever folder the driver was started in."""
     root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment

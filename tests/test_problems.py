@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelmill.operators.asof import as_known_at, change_histories
-from panelmill.operators.impute import fill_by_matching, stand_ins
+from panelmill.operators.impute import fill_by_matching, stand_ins, with_lone_readings
 from panelmill.operators.regular import grid_positions, to_grid
 from panelmill.operators.rolling import trailing_totals
 from panelmill.operators.spikes import flag_readings, robust_components
 from panelmill.operators.standing import standing_rows
 from panelmill.plans.problems import SPIKE_FIELDS
+from panelmill.session import written
 
 D = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
 T = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
@@ -295,7 +296,8 @@ def test_stand_ins_need_votes(spark):
             data.append((f"s{k}", "1", D(i), "ajexdi", 1.0 if i < 10 else 12.0))  # a lasting change of level
     data.append(("s9", "1", D(0), "prccd", 5.0))
     cells = spark.createDataFrame(data, "gvkey string, iid string, date date, field string, value double")
-    assert rows(stand_ins(cells, ["gvkey", "iid"], "date").select("field", "value")) == [("prccd", 9999.99)]
+    lone = written(with_lone_readings(cells, ["gvkey", "iid"], "date"), "test")
+    assert rows(stand_ins(lone, ["gvkey", "iid"])) == [("prccd", 9999.99)]
 
 
 def test_fill_nothing_usable_and_empty(spark):
