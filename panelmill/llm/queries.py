@@ -37,13 +37,14 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per capacity: containers, tokens and the share of the space that is used."""
+    """Per capacity: containers, the fewest that the tokens could fill, tokens and the share of the space that is used."""
     cap = {s: c for s, c in _specs(spark, d)}
     x = p7_containers(spark, d)
     caps = F.create_map(*[F.lit(v) for s, c in cap.items() for v in (int(s), int(c))])
     g = x.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
     g = g.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), F.sum("n").alias("pieces"))
-    return g.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * caps[F.col("spec_id")]), 6))
+    size = caps[F.col("spec_id")]
+    return g.withColumns({"bound": F.ceil(F.col("tokens") / size), "fill": F.round(F.col("tokens") / (F.col("containers") * size), 6)})
 
 
 def _targets(spark: SparkSession, d: str) -> list[tuple[str, float, int]]:
