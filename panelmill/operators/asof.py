@@ -98,13 +98,14 @@ def change_histories(
     return clean.mapInPandas(run, schema)
 
 
-def as_known_at(events: DataFrame, entity: str, date: str, histories: DataFrame, attributes: list[str]) -> DataFrame:
+def as_known_at(events: DataFrame, entity: str, date: str, histories: DataFrame, attributes: list[str], types: dict[str, T.DataType] | None = None) -> DataFrame:
     """Each distinct (entity, date) of events with every attribute's value last known on that date.
 
     The attributes are matched separately, each against its own history, and pivoted back; a change dated after
     the event is never used. An event before an attribute's first change, in a hole, or with an entity without
     history gets null. Events with a null entity or date are dropped. Extra columns of events are not kept, so
-    they can't clash with attribute names.
+    they can't clash with attribute names. Histories hold all values as text; an attribute named in `types` comes out
+    in its own type again.
 
     One shuffle by entity serves the matching window and the pivot. The rows of one entity are bounded by its
     days and changes, as equal events collapse map-side before the shuffle.
@@ -130,4 +131,6 @@ def as_known_at(events: DataFrame, entity: str, date: str, histories: DataFrame,
         .where("_event = 1")
     )
     out = known.groupBy("_e", "_d").agg(*[F.max(F.when(F.col("_a") == a, F.col("_known.v"))).alias(a) for a in attributes])
-    return out.select(F.col("_e").alias(entity), F.date_from_unix_date("_d").alias(date), *attributes)
+    kinds = types or {}
+    values = [F.col(a).cast(kinds[a]).alias(a) if a in kinds else F.col(a) for a in attributes]
+    return out.select(F.col("_e").alias(entity), F.date_from_unix_date("_d").alias(date), *values)

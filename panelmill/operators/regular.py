@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: A calendar is a dimension: one row a day. Above this many rows it is joined by shuffle instead of broadcast.
-MAX_BROADCAST_DAYS = 200_000
-
+from panelmill.session import small
 
 def grid_positions(calendar: DataFrame, day: str) -> DataFrame:
     """(day INT, pos INT, on_grid BOOLEAN) for every calendar day from the first grid day to the last.
@@ -26,11 +24,6 @@ def grid_positions(calendar: DataFrame, day: str) -> DataFrame:
     ).select(F.explode(F.sequence("_g", "_until")).alias("day"), "pos", "_g").select("day", "pos", (F.col("day") == F.col("_g")).alias("on_grid"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a calendar only after its row count has been checked."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_DAYS + 1).count() <= MAX_BROADCAST_DAYS else df
-
-
 def to_grid(
     readings: DataFrame,
     source: list[str],
@@ -52,13 +45,14 @@ def to_grid(
 
     Result: source columns, grid day, level, increment (null in a source's first cell), status ('delivered',
     'unusable': a row without usable value, 'missing': no row), reset (the counter fell since the previous
-    reading) and filled. A cell before the first or after the last usable reading is uncovered: its level is
-    null and filled is false. Readings with a null source or day, or off the calendar's range, are dropped;
+    reading), filled (no usable reading of its own, but increments were distributed to it) and uncovered (no two
+    usable readings around it: before the first or after the last, level is null). A cell without a row is filled
+    or uncovered, never neither. Readings with a null source or day, or off the calendar's range, are dropped;
     empty input gives an empty result.
 
     One shuffle by source; its rows are bounded by the days of its span.
     """
-    grid = _small(grid_positions(calendar, calendar_day))
+    grid = small(grid_positions(calendar, calendar_day))  # a row a day
     r = (
         readings.where(F.col(day).isNotNull())
         .dropna(subset=source)
@@ -106,4 +100,5 @@ def to_grid(
         F.col("_status").alias("status"),
         (F.col("_reset") & own).alias("reset"),
         (F.col("_lv").isNotNull() & (F.col("_status") != "delivered")).alias("filled"),
+        F.col("_lv").isNull().alias("uncovered"),
     )

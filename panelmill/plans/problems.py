@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from panelmill.functions.numeric import is_finite
 from panelmill.operators.asof import as_known_at, change_histories
@@ -61,15 +62,35 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_flags(spark, d).select("permno", "date", "field").distinct()
 
 
-def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    """One prccd row for every trading day of every security's span."""
+def _prices_on_grid(spark: SparkSession, d: str) -> DataFrame:
     usable = is_finite("prccd") & (F.col("prccd") > 0)
-    g = to_grid(_cstat(spark, d, ["prccd"]), ["gvkey", "iid"], "date", "prccd", usable, read(spark, d, "trading_cal"), "trading_days")
-    return g.select(_id(), _day(), F.col("level").alias("prccd"), "increment", "status", "filled")
+    return to_grid(_cstat(spark, d, ["prccd"]), ["gvkey", "iid"], "date", "prccd", usable, read(spark, d, "trading_cal"), "trading_days")
+
+
+def p3_grid(spark: SparkSession, d: str) -> DataFrame:
+    """One prccd row for every trading day of every security's span. A price is a level: its increments carry their sign."""
+    g = _prices_on_grid(spark, d)
+    return g.select(_id(), _day(), F.col("level").alias("prccd"), "increment", "status", "filled", "uncovered")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_grid(spark, d).where("status = 'missing'").select("id", "date")
+    """The days without a row: cells that got their share of the increments around them, or that came out marked as uncovered."""
+    g = p3_grid(spark, d).where(F.when(F.col("status") == "missing", F.col("filled") | F.col("uncovered")))
+    return g.select("id", "date")
+
+
+def p3_counter(spark: SparkSession, d: str) -> DataFrame:
+    """A cumulative counter on the same grid: the volume since the beginning of the month of each crsp_sd security.
+
+    It is built from the delivered volumes, falls back at the turn of a month and has gaps where days are missing; out come
+    total and increment for every trading day, gaps filled in proportion.
+    """
+    rows = standing_rows(read(spark, d, "crsp_sd"), ["permno", "date"], ["vol"])
+    use = is_finite("vol") & (F.col("vol") >= 0)
+    month = W.partitionBy("permno", F.trunc("date", "month")).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select("permno", "date", F.when(use, F.sum(F.when(use, F.col("vol"))).over(month)).alias("so_far"))
+    g = to_grid(rows, ["permno"], "date", "so_far", F.col("so_far").isNotNull(), read(spark, d, "trading_cal"), "trading_days", counter=True)
+    return g.select("permno", _day(), F.col("level").alias("total"), F.col("increment").alias("vol"), "status", "reset", "filled", "uncovered")
 
 
 def p4_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -101,9 +122,10 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, d: str, attributes: list[str]) -> DataFrame:
-    h = change_histories(_links(spark, d), "lpermno", "linkdt", "linkenddt", attributes, tie="gvkey")
+    links = _links(spark, d)
+    h = change_histories(links, "lpermno", "linkdt", "linkenddt", attributes, tie="gvkey")
     events = read(spark, d, "crsp_sd").select("permno", "date")
-    return as_known_at(events, "permno", "date", h.withColumnRenamed("lpermno", "permno"), attributes)
+    return as_known_at(events, "permno", "date", h.withColumnRenamed("lpermno", "permno"), attributes, {a: links.schema[a].dataType for a in attributes})
 
 
 def p5_attributes(spark: SparkSession, d: str) -> DataFrame:
@@ -119,11 +141,31 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_fill, p2_found, p2_flags, p3_found, p3_grid, p4_found, p4_rolling, p5_found, p5_attributes)}
+    return {f.__name__: f for f in (p1_found, p1_fill, p2_found, p2_flags, p3_found, p3_grid, p3_counter, p4_found, p4_rolling, p5_found, p5_attributes)}
 
 
 _CSTAT = standing_sql("cstat_sd", "gvkey, iid, date", ["prccd"], "st")
 _CRSP = standing_sql("crsp_sd", "permno, date", ["prc", "shrout"], "st")
+
+
+def _grid_sql(table: str, keys: list[str], value: str, counter: bool) -> str:
+    """CTEs up to `lv`: keys, day, level, own row and reset on every trading day between first and last row, from (keys, date, value null if not usable)."""
+    k = ", ".join(keys)
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys)
+    of = lambda a: ", ".join(f"{a}.{c}" for c in keys)
+    steps = f"sum(CASE WHEN before IS NULL OR v < before THEN v ELSE v - before END) OVER (PARTITION BY {k} ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    return f"""us AS (SELECT {k}, date, {value} AS v, lag({value}) OVER (PARTITION BY {k} ORDER BY date) AS before FROM {table} WHERE {value} IS NOT NULL),
+ pt AS (SELECT {k}, date, {steps if counter else "v"} AS l, {"coalesce(v < before, false)" if counter else "false"} AS reset FROM us),
+ sp AS (SELECT {k}, min(date) AS lo, max(date) AS hi FROM {table} GROUP BY {k}),
+ gd AS (SELECT {of("sp")}, c.trading_days AS d FROM sp JOIN trading_cal c ON c.trading_days BETWEEN sp.lo AND sp.hi),
+ ga AS (SELECT gd.*, a.date AS ad, a.l AS al, a.reset AS ar FROM gd ASOF LEFT JOIN pt a ON {same("a", "gd")} AND a.date <= gd.d),
+ gb AS (SELECT ga.*, b.date AS bd, b.l AS bl FROM ga ASOF LEFT JOIN pt b ON {same("b", "ga")} AND b.date >= ga.d),
+ lv AS (SELECT {of("gb")}, gb.d, CASE WHEN ad = d THEN al WHEN ad IS NOT NULL AND bd IS NOT NULL THEN al + (bl - al) * (CAST(d - ad AS DOUBLE) / (bd - ad)) END AS level,
+  CASE WHEN ad = d THEN 'delivered' WHEN o.date IS NOT NULL THEN 'unusable' ELSE 'missing' END AS status, coalesce(ad = d AND ar, false) AS reset
+  FROM gb LEFT JOIN {table} o ON {same("o", "gb")} AND o.date = gb.d)"""
+
+
+_GRID_MARKS = "status, level IS NOT NULL AND status <> 'delivered' AS filled, level IS NULL AS uncovered"
 _ROLL = f"""WITH {_CRSP}, m AS (SELECT permno, date, CASE WHEN isfinite(prc) AND isfinite(shrout) THEN abs(prc) * shrout END AS mv FROM st),
  cal AS (SELECT permno, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS d FROM m GROUP BY permno),
  t AS (SELECT cal.permno, cal.d,
@@ -144,11 +186,16 @@ def oracle_sql() -> dict[str, str]:
  SELECT s.gvkey || '_' || s.iid AS id, strftime(c.trading_days, '%Y-%m-%d') AS date
  FROM s JOIN trading_cal c ON c.trading_days BETWEEN s.lo AND s.hi
  LEFT JOIN st ON st.gvkey = s.gvkey AND st.iid = s.iid AND st.date = c.trading_days WHERE st.date IS NULL""",
+        "p3_grid": f"""WITH {_CSTAT}, rd AS (SELECT gvkey, iid, date, CASE WHEN isfinite(prccd) AND prccd > 0 THEN prccd END AS v0 FROM st), {_grid_sql("rd", ["gvkey", "iid"], "v0", False)}
+ SELECT gvkey || '_' || iid AS id, strftime(d, '%Y-%m-%d') AS date, level AS prccd, level - lag(level) OVER (PARTITION BY gvkey, iid ORDER BY d) AS increment, {_GRID_MARKS} FROM lv""",
+        "p3_counter": f"""WITH {standing_sql("crsp_sd", "permno, date", ["vol"], "st")}, rd AS (SELECT permno, date, CASE WHEN ok THEN sum(CASE WHEN ok THEN vol END) OVER (PARTITION BY permno, date_trunc('month', date)
+  ORDER BY date ROWS UNBOUNDED PRECEDING) END AS v0 FROM (SELECT permno, date, vol, isfinite(vol) AND vol >= 0 AS ok FROM st)), {_grid_sql("rd", ["permno"], "v0", True)}
+ SELECT permno, strftime(d, '%Y-%m-%d') AS date, level AS total, level - lag(level) OVER (PARTITION BY permno ORDER BY d) AS vol, reset, {_GRID_MARKS} FROM lv""",
         "p4_found": f"{_ROLL} SELECT permno, strftime(d, '%Y-%m-%d') AS date FROM t WHERE total_7d < 0.1 * total_30d",
         "p4_rolling": f"""{_ROLL} SELECT permno, strftime(d, '%Y-%m-%d') AS date, round(total_7d, 4) AS total_7d, round(round(total_7d, 4) / CAST(7 AS DOUBLE), 6) AS avg_7d,
  round(total_30d, 4) AS total_30d, round(round(total_30d, 4) / CAST(30 AS DOUBLE), 6) AS avg_30d, days_7d, days_30d FROM t""",
         "p5_found": f"""WITH {_LINK}, latest AS (SELECT permno, gvkey, row_number() OVER (PARTITION BY permno ORDER BY linkdt DESC, gvkey) AS rn FROM l)
  SELECT hit.permno, strftime(hit.date, '%Y-%m-%d') AS date, hit.gvkey FROM hit JOIN latest ON latest.permno = hit.permno AND latest.rn = 1
  WHERE hit.rn = 1 AND hit.gvkey IS NOT NULL AND hit.gvkey <> latest.gvkey""",
-        "p5_attributes": f"""WITH {_LINK} SELECT permno, strftime(date, '%Y-%m-%d') AS date, gvkey, liid, linkprim, CAST(gsector AS VARCHAR) AS gsector FROM hit WHERE rn = 1""",
+        "p5_attributes": f"""WITH {_LINK} SELECT permno, strftime(date, '%Y-%m-%d') AS date, gvkey, liid, linkprim, gsector FROM hit WHERE rn = 1""",
     }

@@ -87,10 +87,11 @@ class TimeVaryingGroups(BasePortal):
     name = "time-varying groups"
 
     def __init__(self, changes: DataFrame):
+        self.kind = changes.schema["grp"].dataType
         self.changes = changes.select("id", F.col("since").alias("date"), F.col("grp").cast("string").alias("value"))
 
     def at(self, panel: DataFrame) -> DataFrame:
         from panelmill.operators.asof import as_known_at
 
         h = self.changes.select("id", F.lit("grp").alias("attribute"), F.unix_date("date").alias("since"), "value")
-        return as_known_at(panel, "id", "date", h, ["grp"])
+        return as_known_at(panel, "id", "date", h, ["grp"], {"grp": self.kind})

@@ -551,7 +551,7 @@ def test_portals(spark):
     assert p.periods.count() == 6 and p.assets.count() == 1 and p.delta_data.first()["ret"] == pytest.approx(0.1)
     assert rows(SectorPortal(q, "*").group_information) == [(1, 45), (2, -1)]
     g = TimeVaryingGroups(spark.createDataFrame([(1, D(0), 5), (1, D(2), 6)], "id int, since date, grp int"))
-    assert rows(g.at(spark.createDataFrame([(1, D(-1)), (1, D(1)), (1, D(3))], "id int, date date"))) == [(1, D(-1), None), (1, D(1), "5"), (1, D(3), "6")]
+    assert rows(g.at(spark.createDataFrame([(1, D(-1)), (1, D(1)), (1, D(3))], "id int, date date"))) == [(1, D(-1), None), (1, D(1), 5), (1, D(3), 6)]
 
 
 def test_build_and_persist_universes(spark, tmp_path):
