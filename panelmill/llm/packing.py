@@ -40,13 +40,16 @@ class _Sums:
             self.there[length] = False
             self.pairs[length : length + self.top + 1] -= self.there
 
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """Two available lengths with this sum, the most uneven ones: the longest item is the hardest to place."""
+    def pair(self, total: int, free: np.ndarray | None = None) -> tuple[int, int] | None:
+        """Two available lengths with this sum, the most uneven ones: the longest item is the hardest to place.
+
+        free: how many of each length may be used, if not all."""
         if total < 2 or total >= len(self.pairs) or self.pairs[total] <= 0:
             return None
+        free = self.n if free is None else free
         lo, hi = max(1, total - self.top), total // 2
-        ok = self.there[lo : hi + 1] & self.there[total - hi : total - lo + 1][::-1]
-        if total % 2 == 0 and self.n[hi] < 2:
+        ok = (free[lo : hi + 1] > 0) & (free[total - hi : total - lo + 1][::-1] > 0)
+        if total % 2 == 0 and free[hi] < 2:
             ok[hi - lo] = False
         at = np.nonzero(ok)[0]
         return (total - lo - int(at[0]), lo + int(at[0])) if len(at) else None
@@ -88,11 +91,14 @@ def _complements(counts: np.ndarray, capacity: int, most: int) -> list[tuple[int
             combination = None
             if started.count[length]:
                 combination = (length, (length,))
+            # an item that fills a started gap by itself is kept for that
+            free = lambda x: int(stock.n[x] - started.count[x])
             # one more item: a gap of this length and another that is there
             if combination is None and most > 1:
                 more = min(stock.top, capacity - length)
-                ok = (started.count[length + 1 : length + more + 1] > 0) & stock.there[1 : more + 1]
-                if length <= more and stock.n[length] < 2:
+                gaps = started.count[length + 1 : capacity + 1] > 0
+                ok = gaps[:more] & (stock.n[1 : more + 1] > started.count[1 : more + 1])
+                if length <= more and free(length) < 2:
                     ok[length - 1] = False
                 x = _first(ok[::-1])  # the longest first
                 if x is not None:
@@ -101,17 +107,18 @@ def _complements(counts: np.ndarray, capacity: int, most: int) -> list[tuple[int
             # two more items: a gap of this length and a sum of two that are there
             if combination is None and most > 2:
                 more = min(len(stock.pairs) - 1, capacity - length)
-                ok = (started.count[length + 1 : length + more + 1] > 0) & (stock.pairs[1 : more + 1] > 0)
-                for total in (np.nonzero(ok)[0] + 1)[::-1].tolist():
-                    two = stock.pair(total)
+                sums = np.nonzero(gaps[:more] & (stock.pairs[1 : more + 1] > 0))[0] + 1
+                spare = stock.n - started.count[: stock.top + 1] if len(sums) else stock.n
+                for total in sums[::-1].tolist():
+                    two = stock.pair(total, spare)
                     # the length itself is spoken for once
-                    if two and stock.n[length] > two.count(length):
+                    if two and free(length) > two.count(length):
                         combination = (length + total, (length, *two))
                         break
             if combination:
                 gap, items = combination
                 need = {x: items.count(x) for x in items}
-                many, lengths = started.take(gap, min(int(stock.n[x]) // k for x, k in need.items()))
+                many, lengths = started.take(gap, min(free(x) // k for x, k in need.items()))
                 for x, k in need.items():
                     stock.take(x, k * many)
                 started.put(0, many, lengths + items)
