@@ -118,7 +118,8 @@ def _complements(counts: np.ndarray, capacity: int, most: int) -> list[tuple[int
             if combination:
                 gap, items = combination
                 need = {x: items.count(x) for x in items}
-                many, lengths = started.take(gap, min(free(x) // k for x, k in need.items()))
+                there = free if len(items) > 1 else (lambda x: int(stock.n[x]))
+                many, lengths = started.take(gap, min(there(x) // k for x, k in need.items()))
                 for x, k in need.items():
                     stock.take(x, k * many)
                 started.put(0, many, lengths + items)
