@@ -7,15 +7,17 @@ from heapq import heappush, heapreplace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
-from panelmill.session import table_path
+from panelmill.session import let_workers_import, table_path
 
-#: Bytes of one row group of the clustered table: the unit that can be skipped.
-ROW_GROUP_BYTES = 256 * 1024
+#: Bytes of one row group of the clustered table, the unit that can be skipped; rows are read in batches of so many.
+ROW_GROUP_BYTES, BATCH = 64 * 1024 * 1024, 1 << 16
 
 
 def write_clustered(df: DataFrame, group: str, item: str, score: str, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
@@ -25,8 +27,10 @@ def write_clustered(df: DataFrame, group: str, item: str, score: str, path: str,
     aggregate; the range partitioning is on (group, score, item), so a group with a third of all rows is split
     over a third of the files.
     """
-    ok = F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
-    best = df.where(ok).groupBy(F.col(group).alias("g"), F.col(item).alias("i")).agg(F.max(F.col(score).cast("double")).alias("s"))
+    ok = F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(score).isNotNull()
+    if isinstance(df.schema[score].dataType, (T.DoubleType, T.FloatType)):
+        ok = ok & ~F.isnan(score)
+    best = df.where(ok).groupBy(F.col(group).alias("g"), F.col(item).alias("i")).agg(F.max(score).alias("s"))
     order = [F.col("g"), F.col("s").desc(), F.col("i")]
     (
         best.repartitionByRange(*order)
@@ -45,15 +49,16 @@ def _open(path: str):
     return pq.ParquetFile(system.open_input_file(at))
 
 
-_STATS = "path string, rg int, g_lo string, g_hi string, s_lo double, s_hi double, n long"
-
-
 def row_group_stats(spark: SparkSession, path: str) -> DataFrame:
-    """One row per row group: file, number, least and greatest group (as text), least and greatest score, rows.
+    """One row per row group: file, number, least and greatest group (as text), least and greatest score (in its own type), rows.
 
-    Footers are read by the executors; the driver only lists files.
+    Footers are read by the executors; the driver only lists files. What a footer does not tell is null.
     """
-    files = sorted(spark.read.parquet(path).inputFiles())
+    table = spark.read.parquet(path)
+    files, kind = sorted(table.inputFiles()), table.schema["s"].dataType
+    schema = T.StructType(
+        [T.StructField(c, T.StringType() if c in ("path", "g_lo", "g_hi") else T.LongType() if c in ("rg", "n") else kind) for c in ("path", "rg", "g_lo", "g_hi", "s_lo", "s_hi", "n")]
+    )
     paths = spark.createDataFrame([(p,) for p in files], "path string")
     paths = paths.repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)), "path")
 
@@ -68,39 +73,49 @@ def row_group_stats(spark: SparkSession, path: str) -> DataFrame:
                     g, s = rg.column(at["g"]).statistics, rg.column(at["s"]).statistics
                     has = g is not None and g.has_min_max and s is not None and s.has_min_max
                     out.append((p, r, str(g.min) if has else None, str(g.max) if has else None, s.min if has else None, s.max if has else None, rg.num_rows))
-            yield pd.DataFrame(out, columns=["path", "rg", "g_lo", "g_hi", "s_lo", "s_hi", "n"])
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(schema.names, zip(*out) if out else [()] * 7)})
 
-    return paths.mapInPandas(footers, _STATS)
+    return paths.mapInPandas(footers, schema)
 
 
-def _scan(pf, groups: list[int], maxima: list[float], n: int, counts: list[int] | None = None) -> dict:
+def _scan(pf, groups: list[int], maxima: list, only: list | None = None, n: int = 1, counts: list[int] | None = None) -> dict:
     """Best items per group over the row groups of one file, read in falling order of their maxima.
 
-    A row group is skipped if its maximum lies strictly below the n-th score of every group it contains. Which
-    groups it contains is read from the group column alone.
+    A row group is skipped if its maximum lies strictly below the n-th score of every group it contains; one without a
+    known maximum (None) is read. Which groups it contains is read from the group column alone, unless `only` says
+    that it holds one group. Rows are read in batches, so a large row group is never in memory as a whole, and a
+    row group of one group is left after its first n rows, as they are sorted.
     """
     best: dict = {}
-    for rg, top in zip(groups, maxima):
-        names = pf.read_row_group(rg, columns=["g"])["g"]
-        inside = names.unique().to_pylist()
-        if all(len(best.get(g, ())) >= n and best[g][0][0] > top for g in inside):
-            continue
+    for k, (rg, top) in enumerate(zip(groups, maxima)):
+        alone = bool(only and only[k])
+        if top is not None:
+            inside = set()
+            for b in pf.iter_batches(BATCH, row_groups=[rg], columns=["g"]):
+                inside.update(b["g"].slice(0, 1 if alone else None).unique().to_pylist())
+                if alone:
+                    break
+            if all(len(best.get(g, ())) >= n and best[g][0][0] > top for g in inside):
+                continue
         if counts is not None:
             counts[0] += 1
-        t = pf.read_row_group(rg, columns=["i", "s"])
-        g = names.to_pandas().to_numpy()
-        edge = np.nonzero(g[1:] != g[:-1])[0] + 1
-        start = np.r_[0, edge]
-        place = np.arange(len(g)) - np.repeat(start, np.diff(np.r_[start, len(g)]))
-        keep = np.nonzero(place < n)[0]
-        item, score = t["i"].to_pandas().to_numpy()[keep].tolist(), t["s"].to_numpy()[keep].tolist()
-        for a, b, s in zip(names.take(keep).to_pylist(), item, score):
-            h = best.setdefault(a, [])
-            entry = (s, _Last(b))
-            if len(h) < n:
-                heappush(h, entry)
-            elif h[0] < entry:
-                heapreplace(h, entry)
+        taken: dict = {}  # rows of the group so far, of this row group
+        for b in pf.iter_batches(BATCH, row_groups=[rg], columns=["g", "i", "s"]):
+            codes = b["g"].dictionary_encode().indices.to_numpy()
+            start = np.r_[0, np.nonzero(codes[1:] != codes[:-1])[0] + 1]
+            place = np.arange(len(codes)) - np.repeat(start, np.diff(np.r_[start, len(codes)]))
+            first = b.take(pa.array(np.nonzero(place < n)[0]))
+            for g, i, s in zip(first["g"].to_pylist(), first["i"].to_pylist(), first["s"].to_pylist()):
+                if taken.get(g, 0) >= n:
+                    continue
+                taken[g] = taken.get(g, 0) + 1
+                h, entry = best.setdefault(g, []), (s, _Last(i))
+                if len(h) < n:
+                    heappush(h, entry)
+                elif h[0] < entry:
+                    heapreplace(h, entry)
+            if alone and taken and min(taken.values()) >= n:
+                break
     return best
 
 
@@ -124,7 +139,8 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, row_group_by
 
     An item counts once per group, with its greatest score; equal scores go to the smaller item. Null groups,
     items and scores and NaN scores don't compete; infinite scores do. Groups with fewer items list all they
-    have; an empty input gives an empty result. Extra columns are not kept.
+    have; an empty input gives an empty result. Extra columns are not kept. The score keeps its type, in the clustered
+    table, its statistics and the result, so large integers and decimals are compared exactly.
 
     The clustered table is written once to the shared folder. From its footers follows, per group, a score that
     at least n items reach (the least score of a row group that holds that group alone and n rows or more): row
@@ -136,32 +152,31 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, row_group_by
     kinds = {c: df.schema[c].dataType for c in (group, item)}
     path = table_path(spark, "clustered")
     write_clustered(df, group, item, score, path, row_group_bytes)
-    schema = T.StructType([T.StructField("g", kinds[group]), T.StructField("i", kinds[item]), T.StructField("s", T.DoubleType())])
+    schema = T.StructType([T.StructField("g", kinds[group]), T.StructField("i", kinds[item]), T.StructField("s", df.schema[score].dataType)])
     stats = row_group_stats(spark, path)
-    alone = (F.col("g_lo") == F.col("g_hi")) & F.col("s_lo").isNotNull()
+    alone = F.coalesce(F.col("g_lo") == F.col("g_hi"), F.lit(False)) & F.col("s_lo").isNotNull()
     bound = stats.where(alone & (F.col("n") >= n)).groupBy(F.col("g_lo").alias("_g")).agg(F.max("s_lo").alias("_bound"))
-    plan = stats.join(bound, alone & (F.col("g_lo") == F.col("_g")), "left").where(F.col("_bound").isNull() | (F.col("s_hi") >= F.col("_bound")))
-    plan = plan.select("path", "rg", F.coalesce("s_hi", F.lit(float("inf"))).alias("top")).repartition("path").sortWithinPartitions("path", F.col("top").desc(), "rg")
+    plan = stats.withColumn("only", alone).join(bound, F.col("only") & (F.col("g_lo") == F.col("_g")), "left").where(F.col("_bound").isNull() | (F.col("s_hi") >= F.col("_bound")))
+    plan = plan.select("path", "rg", F.col("s_hi").alias("top"), "only").repartition("path").sortWithinPartitions("path", F.col("top").desc_nulls_first(), "rg")
+    let_workers_import(spark)
 
-    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
-        for pdf in it:
-            for p, rg, top in zip(pdf["path"], pdf["rg"], pdf["top"]):
-                if p != now:
-                    if held:
-                        yield from _result(now, held)
-                    now, held = p, []
-                held.append((int(rg), float(top)))
-        if held:
-            yield from _result(now, held)
-
-    def _result(p: str, held: list) -> Iterator[pd.DataFrame]:
-        best = _scan(_open(p), [r for r, _ in held], [t for _, t in held], n)
-        rows = [(g, x.item, s) for g, h in best.items() for s, x in h]
+        for batch in it:
+            for r in batch.to_pylist():
+                if r["path"] != now:
+                    yield from _result(now, held)
+                    now, held = r["path"], []
+                held.append((r["rg"], r["top"], r["only"]))
+        yield from _result(now, held)
+
+    def _result(p: str | None, held: list) -> Iterator[pa.RecordBatch]:
+        best = _scan(_open(p), *map(list, zip(*held)), n=n) if held else {}
+        rows = [{"g": g, "i": x.item, "s": s} for g, h in best.items() for s, x in h]
         if rows:
-            yield pd.DataFrame(rows, columns=["g", "i", "s"])
+            yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
 
-    found = plan.mapInPandas(read, schema)
+    found = plan.mapInArrow(read, schema)
     w = W.partitionBy("g").orderBy(F.col("s").desc(), "i")
     ranked = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
     return ranked.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "place")

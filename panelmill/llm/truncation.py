@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panelmill.session import written
+from panelmill.session import small, written
 
 #: A spike in a length histogram: at least so many texts, so many times the mean of the lengths around it, and so
 #: many deviations above that mean.
 LEAST_AT_LIMIT, TIMES_AROUND, DEVIATIONS, AROUND = 5, 12.0, 8.0, 50
 #: A last line is an appended trailer if it recurs in so many texts and in this share of its source, or of all texts.
-LEAST_TRAILERS, TRAILER_SHARE, TRAILER_SHARE_ALL, TRAILER_LENGTH = 3, 0.02, 0.001, 80
+LEAST_TRAILERS, TRAILER_SHARE, TRAILER_SHARE_ALL = 3, 0.02, 0.001
 #: Up to this many sources the per-source findings are broadcast (200 short lines each at most).
 MAX_BROADCAST_SOURCES = 1000
 
@@ -117,9 +117,11 @@ def _without_last_line(c: str) -> str:
 
 
 def _line_is_apart(c: str) -> Column:
-    """The last line stands apart from the text before it: marked as a comment or rule, or after an empty line."""
+    """The last line stands apart from the text before it: marked as a comment or rule, or after an empty line, or all there is."""
     marked = F.startswith(_last_line(c), F.lit("%")) | F.startswith(_last_line(c), F.lit("--"))
-    return marked | F.expr(f"right({_without_last_line(c)}, 40)").rlike(r"^$|\n[ \t]*\n$")
+    ended = _without_last_line(c)
+    line_before = F.substring_index(F.expr(f"rtrim(' \t', left({ended}, greatest(length({ended}) - 1, 0)))"), "\n", -1)
+    return marked | (line_before == "")
 
 
 def _without_trailers() -> Column:
@@ -155,7 +157,7 @@ def cut_texts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """One row per text: key, source, cut, reason ('limit', 'ending'), metric and limit (for 'limit').
 
     A text is cut if it lies on one of its source's storage limits and does not end with a closed final unit, or
-    if its ending, without appended trailers, breaks off inside a unit. Trailers are short last lines apart from
+    if its ending, without appended trailers, breaks off inside a unit. Trailers are last lines apart from
     the text that recur over the texts of the source or of all sources; they are found from all texts that lie
     on no limit. Empty and null texts are not cut; a null source is a source of its own.
 
@@ -168,18 +170,23 @@ def cut_texts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     per_limits = limits.groupBy("_s").agg(F.collect_list(F.struct("_m", "_l", "metric", "texts")).alias("_limits"))
     sources = f.groupBy("_s").agg(F.count("*").alias("_docs"))
     per = written(sources.join(per_limits, "_s", "left"), "sources")
-    small = per.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-    side = lambda d: F.broadcast(d) if small else d
+    few = per.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
+    side = lambda d: F.broadcast(d) if few else d
     hit = F.filter("_limits", lambda x: F.element_at("_len", x["_m"] + 1) == x["_l"])
     at = f.join(side(per), "_s").withColumn("_hit", F.element_at(F.when(F.size(hit) > 0, hit), 1))
 
     # trailers, of texts on no limit
-    tail = at.where(F.col("_hit").isNull() & (F.col("_end") != "")).where(_line_is_apart("_end") & ~F.col("_end").rlike(CLOSER))
-    tail = tail.select("_s", "_docs", F.trim(_last_line("_end")).alias("_line")).where(F.length("_line").between(1, TRAILER_LENGTH))
-    lines = written(tail.groupBy("_line", "_s").agg(F.count("*").alias("_n"), F.max("_docs").alias("_docs")), "lines")
-    every = lines.groupBy("_line").agg(F.sum("_n").alias("_all"))
     total = sources.agg(F.sum("_docs")).first()[0] or 0
-    lines = lines.join(every.where(F.col("_all") >= LEAST_TRAILERS), "_line")
+    tail = at.where(F.col("_hit").isNull() & (F.col("_end") != "")).where(_line_is_apart("_end") & ~F.col("_end").rlike(CLOSER))
+    tail = tail.select("_k", "_s", "_docs", F.trim(_last_line("_end")).alias("_line")).where("_line <> ''")
+    # a last line may be a text of its own: hashes are counted, and only lines that recur are fetched
+    marks = written(tail.groupBy(F.sha2("_line", 256).alias("_hash"), "_s").agg(F.count("*").alias("_n"), F.max("_docs").alias("_docs")), "marks")
+    often = marks.groupBy("_hash").agg(F.sum("_n").alias("_all")).where(F.col("_all") >= LEAST_TRAILERS)
+    lines = marks.join(often, "_hash")
+    lines = lines.where(((F.col("_n") >= LEAST_TRAILERS) & (F.col("_n") >= TRAILER_SHARE * F.col("_docs"))) | (F.col("_all") >= TRAILER_SHARE_ALL * total))
+    lines = written(lines, "recurring")
+    text = tail.select(F.sha2("_line", 256).alias("_hash"), "_line").join(small(lines.select("_hash").distinct()), "_hash").groupBy("_hash").agg(F.min("_line").alias("_line"))
+    lines = written(lines.join(text, "_hash"), "lines")
     own = (F.col("_n") >= LEAST_TRAILERS) & (F.col("_n") >= TRAILER_SHARE * F.col("_docs"))
     common = F.col("_all") >= TRAILER_SHARE_ALL * total
     # lines common to all texts count everywhere; at most 1 / share of them can exist

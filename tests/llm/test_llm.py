@@ -35,7 +35,7 @@ def brute_top(data, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [1000, 256 * 1024])
+@pytest.mark.parametrize("block", [1000, 256 * 1024, 64 << 20])
 def test_top_n_with_a_hot_group_ties_copies_and_nulls(spark, block):
     rng = np.random.default_rng(1)
     data = [("hot", int(i), float(rng.integers(0, 400))) for i in rng.integers(0, 5000, 8000)]
@@ -52,6 +52,21 @@ def test_top_n_dates_and_empty(spark):
     assert top_n(df.limit(0), "date", "item", "score", 2).count() == 0
 
 
+def test_top_n_keeps_the_type_of_the_score(spark):
+    from decimal import Decimal
+
+    big = [("g", i, 2**60 + i) for i in range(4)]
+    got = top_n(spark.createDataFrame(big, "g string, i int, s long"), "g", "i", "s", 2)
+    assert dict(got.dtypes)["s"] == "bigint" and rows(got) == [("g", 2, 2**60 + 2, 2), ("g", 3, 2**60 + 3, 1)]
+    for kind, make in (
+        ("decimal(30,10)", lambda k: Decimal(10) ** 15 + Decimal(k) / 10**9), ("decimal(12,2)", lambda k: Decimal(k) / 4), ("date", lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)),
+        ("timestamp_ntz", lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k)), ("float", float), ("int", int), ("string", lambda k: f"{k:04d}"),
+    ):
+        data = [(f"g{k % 3}", k, make(k)) for k in range(40)]
+        got = top_n(spark.createDataFrame(data, f"g string, i int, s {kind}"), "g", "i", "s", 2)
+        assert rows(got.select("g", "i", "place")) == [("g0", 36, 2), ("g0", 39, 1), ("g1", 34, 2), ("g1", 37, 1), ("g2", 35, 2), ("g2", 38, 1)], kind
+
+
 def test_row_groups_are_skipped(spark):
     import pyarrow.parquet as pq
 
@@ -64,7 +79,7 @@ def test_row_groups_are_skipped(spark):
     for p in {r["path"] for r in stats}:
         mine = sorted((r for r in stats if r["path"] == p), key=lambda r: -r["s_hi"])
         total += len(mine)
-        _scan(pq.ParquetFile(p.removeprefix("file://")), [r["rg"] for r in mine], [r["s_hi"] for r in mine], 5, read)
+        _scan(pq.ParquetFile(p.removeprefix("file://")), [r["rg"] for r in mine], [r["s_hi"] for r in mine], [r["g_lo"] == r["g_hi"] for r in mine], 5, read)
     assert read[0] < total / 2
 
 
@@ -232,6 +247,23 @@ def test_mix_to_a_total(spark):
     assert [x["tokens"] for x in r.orderBy("source").collect()] == pytest.approx([25_000, 25_000], rel=0.02)
 
 
+def test_mix_reports_a_total_that_cannot_be_had(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(20)], "doc int, src string, n int")
+    with pytest.warns(UserWarning, match="200 is the most"):
+        _, r = mix(df, "doc", "src", "n", [("a", 0.5, 1), ("b", 0.5, 1)], total=1000)
+    assert {(x["total_asked"], x["total_reached"], x["asked_tokens"], x["tokens"]) for x in r.collect()} == {(1000.0, 200, 500.0, 100)}
+
+
+@pytest.mark.parametrize("repeats", [3, 600, 5000])
+def test_rates_of_any_size_reach_the_target(repeats):
+    cells = np.ones(4096)
+    for part in (0.2, 0.7, 0.999):
+        t = np.array(_thresholds(cells, repeats, part * repeats * 4096))
+        u = (np.arange(4096) + 0.5) / 4096
+        n = (t[None, :] < u[:, None]).sum(1)
+        assert n.mean() == pytest.approx(part * repeats, rel=0.01) and n.max() <= repeats
+
+
 def test_mix_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, None, 5), (3, "a", None), (4, "a", 0)], "doc int, src string, n int")
     m, r = mix(df, "doc", "src", "n", [("a", 1.0, 2)])
