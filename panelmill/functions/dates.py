@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 #: Annualisation per frequency; both spellings of the yearly one are taken. Fixed values.
 PERIODS = {"D": ("Daily", 252), "W": ("Weekly", 52), "M": ("Monthly", 12), "Q": ("Quarterly", 4), "Y": ("Yearly", 1), "A": ("Yearly", 1)}
 FREQUENCIES = ("D", "B", "W", "M", "Q", "A")
+#: Resampling more rows than this without a grouper is most likely an oversight.
+MANY_ROWS = 10_000
 
 
 def annualization(freq: str) -> int:
@@ -192,6 +195,8 @@ class DateConfig:
 
         out = df.withColumns({c: to_period(parsed(c), self.freq) for c in dates} | ({"_order": parsed(key)} if self.resample else {}))
         if self.resample:
+            if not self.grouper_keys and df.limit(MANY_ROWS + 1).count() > MANY_ROWS:
+                warnings.warn(f"More than {MANY_ROWS} rows are resampled without grouper_keys: one row per period stays", stacklevel=2)
             rest = [c for c in df.columns if c not in (*self.grouper_keys, key)]
             good = lambda c: F.col(c).isNotNull() & (~F.isnan(c) if kinds[c] in ("double", "float") else F.lit(True))
             aggs = [F.max_by(F.col(c), F.when(good(c), F.col("_order"))).alias(c) for c in rest]

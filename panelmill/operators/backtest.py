@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from panelmill.functions.dates import period_before
 from panelmill.functions.numeric import is_finite
 from panelmill.operators.panel import positions
+from panelmill.session import fetched
 
 #: A single weight above this share is reported.
 CONCENTRATED = 0.05
@@ -27,8 +28,9 @@ def bucket_weights(aligned: DataFrame, hp: int) -> DataFrame:
     last position bounds the explosion.
     """
     last = aligned.agg(F.max("pos")).scalar()
-    n = F.count("*").over(W.partitionBy("date", "ntile"))
-    m = aligned.where("ntile IS NOT NULL").select("date", "pos", "id", "ntile").withColumn("w", 1 / (n * hp))
+    # counts are partial aggregates, a row per date and bucket: no bucket is gathered in a task to be counted
+    n = fetched(bucket_counts(aligned))
+    m = aligned.where("ntile IS NOT NULL").select("date", "pos", "id", "ntile").join(n, ["date", "ntile"]).withColumn("w", 1 / (F.col("n") * hp))
     m = m.withColumn("_last", F.least(F.col("pos") + (hp - 1), last))
     at = m.select("id", "ntile", "w", F.explode(F.sequence("pos", "_last")).alias("pos")).where(F.col("pos") >= hp)
     return at.groupBy("pos", "id", "ntile").agg(F.sum("w").alias("weight"))
@@ -109,7 +111,7 @@ def group_tilts(weights: DataFrame, dates: DataFrame, groups: DataFrame, shares:
     every = shares.agg(F.collect_list(F.struct("grp", "share"))).scalar()
     grid = weights.select("pos", "ntile").distinct().select("pos", "ntile", F.explode(every).alias("_g")).select("pos", "ntile", "_g.grp", "_g.share")
     t = grid.join(g, ["pos", "ntile", "grp"], "left").select("pos", "ntile", "grp", (F.coalesce("weight", F.lit(0.0)) - F.col("share")).alias("tilt"))
-    return t.join(F.broadcast(dates), "pos").select("date", "ntile", "grp", "tilt")
+    return t.join(fetched(dates), "pos").select("date", "ntile", "grp", "tilt")
 
 
 def average_tilts(tilts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from panelmill.functions.numeric import corr, skew_sample, rounded
-from panelmill.operators.returns import forward_returns, in_factor_range
+from panelmill.operators.returns import forward_returns, forward_returns_of, in_factor_range
 
 
 def daily_ic(factor: DataFrame, returns: DataFrame, hp: int) -> DataFrame:
@@ -41,11 +41,13 @@ def ic_summary(ic: DataFrame, hp: int) -> DataFrame:
 
 
 def ic_horizon(factor: DataFrame, returns: DataFrame, intervals: list[int]) -> DataFrame:
-    """ic_summary for each holding period, in one job per plan: a union over the few periods, grouped once."""
-    parts = [daily_ic(factor, returns, h).withColumn("hp", F.lit(h)) for h in sorted(set(intervals))]
-    if not parts:
+    """ic_summary for each holding period. All periods are columns over one window partitioning, one join and one aggregate
+    per date; only the dates' correlations become rows."""
+    periods = sorted(set(intervals))
+    if not periods:
         raise ValueError("intervals must not be empty")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("hp").agg(*ic_aggregates()).select(F.concat(F.col("hp").cast("string"), F.lit("D")).alias("horizon"), "mean", "median", "std", "mean_std", "skew")
+    fwd = forward_returns_of(in_factor_range(returns, factor), {f"_f{h}": h for h in periods})
+    x = factor.select("date", "id", "factor").join(fwd, ["date", "id"], "left")
+    daily = x.groupBy("date").agg(*[corr(F.col("factor"), F.col(f"_f{h}")).alias(f"_{h}") for h in periods])
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("hp"), F.col(f"_{h}").alias("ic")) for h in periods]))
+    return daily.select(each.alias("_x")).select("_x.hp", "_x.ic").groupBy("hp").agg(*ic_aggregates()).select(F.concat(F.col("hp").cast("string"), F.lit("D")).alias("horizon"), "mean", "median", "std", "mean_std", "skew")

@@ -178,6 +178,9 @@ def _from_day(rest: DataFrame, usable: DataFrame, day: DataFrame, company: str,
     asked = rest.select("field", "_d").distinct().join(serves, ["field", "_d"]).select("field", "_d", F.col("_by._d").alias("_at"), F.col("_by._mean").alias("_mean"))
     asked = written(asked, "asked")
     cells = usable.withColumnRenamed("_d", "_at").join(small(asked.select("field", "_at", "_mean").distinct()), ["field", "_at"])
+    cells = cells.withColumn("_gap", F.abs(F.col("_y") - F.col("_mean")))
+    # the least gap is a number, which a hash aggregate can hold; whole donors are compared only where they share it
+    least = fetched(cells.groupBy("field", "_at").agg(F.min("_gap").alias("_gap")))
     one = F.struct(F.col("_y").alias("p"), F.col("value").alias("v"), F.col(company).alias("c"), F.col(issue).alias("i"), F.col("_at").alias("d"))
-    near = cells.groupBy("field", "_at").agg(F.min_by(one, F.struct(F.abs(F.col("_y") - F.col("_mean")), F.col(company), F.col(issue))).alias("_n"))
+    near = cells.join(least, ["field", "_at", "_gap"]).groupBy("field", "_at").agg(F.min_by(one, F.struct(company, issue)).alias("_n"))
     return asked.join(near, ["field", "_at"]).select("field", "_d", "_n")

@@ -80,24 +80,47 @@ def clean_panel(df: DataFrame, value: str, date: str = "date", id: str = "id", n
     )
 
 
-def check_factor(factor: DataFrame, returns: DataFrame, least_periods: int = 100) -> list[str]:
-    """Validate a factor panel against returns; raises on errors, returns the warnings. Two aggregate jobs."""
+def factor_facts(factor: DataFrame, returns: DataFrame) -> dict[str, int]:
+    """Figures of a factor panel against returns: rows, most rows of a (date, id), periods, ids without returns, periods with returns,
+    and per frequency the periods that are the first day of one. Aggregates over all rows; dates and ids are compared as sets."""
+    from panelmill.functions.dates import to_period
+
+    key = factor.groupBy("date", "id").agg(F.count("*").alias("n"))
+    top = key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    dates = factor.select("date").distinct()
+    starts = dates.agg(F.count("date").alias("periods"), *[F.count_if(to_period("date", f) == F.col("date")).alias(f"starts_{f}") for f in "WMQA"]).first()
+    ids = returns.select("id").distinct()
+    unpriced = factor.select("id").distinct().join(ids, "id", "left_anti").count()
+    common = dates.join(returns.select("date").distinct(), "date", "left_semi").count()
+    return {"rows": top["rows"], "most_rows_of_a_key": top["most"], **starts.asDict(), "ids_without_returns": unpriced, "periods_with_returns": common}
+
+
+def check_factor(factor: DataFrame, returns: DataFrame, least_periods: int = 100, freq: str | None = None) -> list[str]:
+    """Validate a factor panel against returns; raises on errors, returns the warnings.
+
+    freq: the frequency of the returns (D, W, M, Q, A or Y). Periods are held by their first day, so a factor of another frequency
+    shows: one with days that begin no such period is finer; one with three dates or more that all begin a longer
+    period is coarser.
+    """
     for c in ("date", "id", "factor"):
         if c not in factor.columns:
             raise ValueError(f'Required column "{c}" is not present')
-    key = factor.groupBy("date", "id").agg(F.count("*").alias("n"))
-    top = key.agg(F.max("n").alias("m"), F.count_distinct("date").alias("d")).first()
-    if top["m"] is None:
+    x = factor_facts(factor, returns)
+    if not x["rows"]:
         raise ValueError("The factor is empty")
-    if top["m"] > 1:
+    if x["most_rows_of_a_key"] > 1:
         raise ValueError("The factor has duplicate (date, id) rows")
-    ids = returns.select("id").distinct()
-    unpriced = factor.select("id").distinct().join(ids, "id", "left_anti").count()
-    common = factor.select("date").distinct().join(returns.select("date").distinct(), "date", "left_semi").count()
-    if common == 0:
+    if x["periods_with_returns"] == 0:
         raise ValueError("Factor and returns have no date in common")
-    out = [f"{unpriced} ids of the factor have no returns"] if unpriced else []
-    return out + ([f"The factor has {top['d']} periods, less than {least_periods}"] if top["d"] < least_periods else [])
+    if freq:
+        own = {"Y": "A"}.get(freq[0], freq[0])
+        finer = own in "WMQA" and x[f"starts_{own}"] < x["periods"]
+        longer = {"D": "WMQA", "B": "WMQA", "M": "QA", "Q": "A"}.get(own, "")
+        coarser = x["periods"] > 2 and any(x[f"starts_{f}"] == x["periods"] for f in longer)
+        if finer or coarser:
+            raise ValueError(f"Factor and returns are not of the same frequency ({freq})")
+    out = [f"{x['ids_without_returns']} ids of the factor have no returns"] if x["ids_without_returns"] else []
+    return out + ([f"The factor has {x['periods']} periods, less than {least_periods}"] if x["periods"] < least_periods else [])
 
 
 def price_pivot(df: DataFrame, value: str, ids: list, id: str = "symbol", date_format: str = "") -> DataFrame:

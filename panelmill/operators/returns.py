@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from panelmill.functions.numeric import finite
 from panelmill.operators.panel import dense_grid, positions
+from panelmill.session import fetched
 
 LOWEST, HIGHEST = -0.75, 1.5
 
@@ -30,9 +31,18 @@ def simple_returns(prices: DataFrame) -> DataFrame:
 
 def forward_returns(returns: DataFrame, hp: int) -> DataFrame:
     """(date, id, fwd): the compounded return of the next hp dates; null for the last hp dates. returns is dense."""
-    w = W.partitionBy("id").orderBy("date").rowsBetween(1, hp)
-    full = F.count("*").over(w) == hp
-    return returns.select("date", "id", F.when(full, F.product(1 + F.col("ret")).over(w) - 1).alias("fwd"))
+    return forward_returns_of(returns, {"fwd": hp})
+
+
+def forward_returns_of(returns: DataFrame, periods: dict[str, int]) -> DataFrame:
+    """(date, id, and per name the compounded return of so many next dates), over one partitioning and sort."""
+    w = W.partitionBy("id").orderBy("date")
+
+    def ahead(hp: int) -> Column:
+        f = w.rowsBetween(1, hp)
+        return F.when(F.count("*").over(f) == hp, F.product(1 + F.col("ret")).over(f) - 1)
+
+    return returns.select("date", "id", *[ahead(hp).alias(name) for name, hp in periods.items()])
 
 
 def in_factor_range(returns: DataFrame, factor: DataFrame) -> DataFrame:
@@ -74,5 +84,5 @@ def aligned_panel(bucketed: DataFrame, returns: DataFrame) -> DataFrame:
     if "pos" in returns.columns:  # numbered already: shift to the first date in range
         r = r.select("date", "id", "ret", (F.col("pos") - r.agg(F.min("pos")).scalar() + 1).alias("pos"))
     else:
-        r = r.select("date", "id", "ret").join(F.broadcast(positions(r)), "date")
+        r = r.select("date", "id", "ret").join(fetched(positions(r)), "date")
     return r.join(bucketed.select("date", "id", "factor", "ntile"), ["date", "id"], "left").select("date", "pos", "id", "ret", "factor", "ntile")

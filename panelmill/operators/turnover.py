@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions.numeric import corr, rounded
 from panelmill.operators.panel import positions
+from panelmill.session import fetched
 
 
 def lagged(panel: DataFrame, value: str, h: int) -> DataFrame:
@@ -20,7 +21,7 @@ def lagged(panel: DataFrame, value: str, h: int) -> DataFrame:
 
 def autocorrelation(factor: DataFrame, h: int) -> DataFrame:
     """(date, autocorrelation): cross-sectional correlation of the factor with itself h positions earlier."""
-    p = factor.select("date", "id", "factor").join(F.broadcast(positions(factor)), "date")
+    p = factor.select("date", "id", "factor").join(fetched(positions(factor)), "date")
     return lagged(p, "factor", h).groupBy("date").agg(corr(F.col("factor"), F.col("_prev")).alias("autocorrelation"))
 
 
@@ -32,7 +33,7 @@ def bucket_turnover(bucketed: DataFrame, h: int, buckets: int | None = None, dro
     dates are 1 (left out with drop_warmup).
     """
     last = F.lit(buckets) if buckets else bucketed.agg(F.max("ntile")).scalar()
-    p = bucketed.select("date", "id", "ntile").where((F.col("ntile") == 1) | (F.col("ntile") == last)).join(F.broadcast(positions(bucketed)), "date")
+    p = bucketed.select("date", "id", "ntile").where((F.col("ntile") == 1) | (F.col("ntile") == last)).join(fetched(positions(bucketed)), "date")
     x = lagged(p, "ntile", h)
     out = x.groupBy("date", "pos", "ntile").agg(F.avg(F.coalesce((F.col("ntile") != F.col("_prev")).cast("double"), F.lit(1.0))).alias("turnover"))
     return (out.where(F.col("pos") > h) if drop_warmup else out).select("date", "ntile", "turnover")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelmill.operators.panel import positions
+from panelmill.session import fetched, let_workers_import
 
 
 class ModelWrapper(ABC):
@@ -50,22 +51,33 @@ def fold_table(dates: DataFrame, eval_days: int, refit_every: int, expanding: in
     """
     check_parameters(eval_days, refit_every, expanding, rolling)
     spark = dates.sparkSession
-    pos = positions(dates).withColumn("pos", F.col("pos") - 1)
+    pos = fetched(positions(dates).withColumn("pos", F.col("pos") - 1))
     n, start = pos.count(), expanding or rolling
-    room = n - start - eval_days
-    folds = spark.range(max(0, -(-room // refit_every))).select(F.col("id").alias("fold"), (F.col("id") * refit_every + start - 1).alias("te"))
+    folds = spark.range(fold_count(n, eval_days, refit_every, start)).select(F.col("id").alias("fold"), (F.col("id") * refit_every + start - 1).alias("te"))
     folds = folds.withColumn("ts", F.col("te") - rolling + 1 if rolling else F.lit(0)).withColumn("ps", F.col("te") + eval_days + 1)
     folds = folds.withColumn("pe", F.least(F.col("ps") + refit_every - 1, F.lit(n - 1)))
     for c, name in (("ts", "train_start"), ("te", "train_end"), ("ps", "pred_start"), ("pe", "pred_end")):
-        folds = folds.join(F.broadcast(pos.select(F.col("pos").alias(c), F.col("date").alias(name))), c)
+        folds = folds.join(pos.select(F.col("pos").alias(c), F.col("date").alias(name)), c)
     return folds.select("fold", "train_start", "train_end", "pred_start", "pred_end")
 
 
-def fold_rows(panel: DataFrame, folds: DataFrame, start: str, end: str) -> DataFrame:
-    """Rows of each fold between two of its dates: folds become (fold, date) by the date table, then an equi-join."""
-    days = panel.select("date").distinct()
-    each = folds.select("fold", start, end).join(days, F.col("date").between(F.col(start), F.col(end))).select("fold", "date")
-    return panel.join(F.broadcast(each), "date")
+def fold_count(dates: int, eval_days: int, refit_every: int, start: int) -> int:
+    return max(0, -(-(dates - start - eval_days) // refit_every))
+
+
+def fold_rows(panel: DataFrame, folds: int, eval_days: int, refit_every: int, start: int, rolling: int | None) -> tuple[DataFrame, DataFrame]:
+    """(training rows, rows to predict) with their fold. panel has pos, from 0.
+
+    Which folds a position belongs to is arithmetic: it is in the training of the folds from the first that ends at or after
+    it up to, in rolling windows, the last that starts at or before it, and is predicted by one fold at most. So rows are
+    exploded by their position alone, without a join to the folds.
+    """
+    reach = lambda c: F.floor(c / F.lit(refit_every)).cast("long")
+    first = F.greatest(reach(F.col("pos") - start + refit_every), F.lit(0).cast("long"))
+    last = F.least(reach(F.col("pos") - start + rolling), F.lit(folds - 1).cast("long")) if rolling else F.lit(folds - 1).cast("long")
+    train = panel.where(first <= last).withColumn("fold", F.explode(F.sequence(first, last)))
+    asks = reach(F.col("pos") - start - eval_days)
+    return train, panel.withColumn("fold", asks).where((F.col("fold") >= 0) & (F.col("fold") < folds))
 
 
 def walk_forward(
@@ -85,9 +97,12 @@ def walk_forward(
     if r["t"]:
         raise ValueError("There are nan or inf values in the target")
     check_parameters(eval_days, refit_every, expanding, rolling)
-    folds = fold_table(panel, eval_days, refit_every, expanding, rolling)
-    train = fold_rows(panel.select("date", id, *features, target), folds, "train_start", "train_end")
-    ask = fold_rows(panel.select("date", id, *features), folds, "pred_start", "pred_end")
+    pos = fetched(positions(panel).withColumn("pos", F.col("pos") - 1))
+    start = expanding or rolling
+    folds = fold_count(pos.count(), eval_days, refit_every, start)
+    placed = panel.select("date", id, *features, target).join(pos, "date")
+    train, ask = fold_rows(placed, folds, eval_days, refit_every, start, rolling)
+    train, ask = train.select("date", id, *features, target, "fold"), ask.select("date", id, *features, "fold")
     schema = T.StructType([T.StructField("date", T.DateType()), panel.schema[id], T.StructField("fold", T.LongType()), T.StructField("prediction", T.DoubleType())])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -99,6 +114,7 @@ def walk_forward(
 
     # both sides come from one panel: new column identities, or the co-group is ambiguous
     train, ask = train.toDF(*train.columns), ask.toDF(*ask.columns)
+    let_workers_import(panel.sparkSession)
     return train.groupBy("fold").cogroup(ask.groupBy("fold")).applyInPandas(run, schema)
 
 

@@ -12,17 +12,17 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.functions.dates import DateConfig, period_end, to_period
+from panelmill.functions.dates import SPECIAL_CLOSINGS, DateConfig, annualization, period_end, period_name, to_period, trading_days
 from panelmill.functions.numeric import corr
 from panelmill.operators import backtest, ic, stats, turnover
 from panelmill.operators.cross import bucket_factor, ntile_columns, rank_columns, robust_scores
 from panelmill.operators.membership import MembershipAdjuster, holdings_universe, link_permno, market_cap_ranks, members_by_interval, ranked_universe
-from panelmill.operators.panel import clean_factor, finite_filter, positions, price_pivot
+from panelmill.operators.panel import check_columns, clean_factor, factor_facts, finite_filter, positions, price_pivot
 from panelmill.operators.returns import aligned_panel, forward_returns, pad_extra_day, pct_change, rolling_sum, simple_returns
 from panelmill.operators.standing import standing_rows, standing_sql
 from panelmill.operators.walkforward import LeastSquares, fold_table, walk_forward
 from panelmill.plans.tears import Ntile
-from panelmill.session import read, written
+from panelmill.session import fetched, read, written
 from panelmill.sources.portals import PricingPortal, SectorPortal
 from panelmill.sources.query import Query, forward_fill
 
@@ -293,7 +293,7 @@ def _annual(s, d):
 
 @query(f"WITH {_FA} SELECT o_custkey, date, CAST(sales AS DOUBLE) AS sales FROM fa")
 def dt12_effective_dates(s, d):
-    return _annual(s, d).df.withColumn("sales", F.col("sales").cast("double"))
+    return _annual(s, d).df.select("o_custkey", "date", F.col("sales").cast("double").alias("sales"))
 
 
 @query(f"""WITH {_FA}, dy AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS date FROM orders),
@@ -303,7 +303,7 @@ def dt12_effective_dates(s, d):
 def j6_fundamentals_as_of(s, d):
     days = read(s, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("date")).distinct()
     x = Query(s)._with(days, id="o_custkey").join_funda_to_table_ff(_annual(s, d), {"o_custkey": "o_custkey"})
-    return x.df.withColumn("sales", F.col("sales").cast("double"))
+    return x.df.select("o_custkey", "date", F.col("sales").cast("double").alias("sales"))
 
 
 _RANK = f"""{_STC}, td AS (SELECT trading_days AS date FROM trading_cal),
@@ -451,7 +451,7 @@ def j13_alignment(s, d):
  SELECT a.date, a.id, a.factor, b.factor AS previous FROM p a LEFT JOIN p b ON b.id = a.id AND b.pos = a.pos - {HP}""")
 def j17_positional_lag(s, d):
     f = pm_factor(s, d)
-    p = f.join(F.broadcast(positions(f)), "date")
+    p = f.join(fetched(positions(f)), "date")
     return turnover.lagged(p, "factor", HP).select("date", "id", "factor", F.col("_prev").alias("previous"))
 
 
@@ -868,6 +868,119 @@ def u1_u2_walk_forward(s, d):
     return out.withColumn("prediction", F.round("prediction", 4))
 
 
+# ---- the rest of the survey's ids -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_AL} SELECT date, series, round(ret, 6) AS ret FROM se")
+def t3_backtest_report(s, d):
+    n, f = _report(s, d)
+    return r6(n.ntile_backtest_tear(f, N, HP, show_uni=True)["backtest"]["returns"], "ret")
+
+
+@query(f"""WITH {_AL}, {_GRP} SELECT 'average' AS kind, CAST(ntile AS BIGINT) AS ntile, grp, round(avg(tilt), 6) AS tilt FROM ti GROUP BY 2, 3
+ UNION ALL SELECT 'long short', NULL, grp, round(avg(tilt), 6) FROM (SELECT date, grp, sum(CASE WHEN ntile = 1 THEN tilt ELSE -tilt END) AS tilt FROM ti WHERE ntile IN (1, {N}) GROUP BY 1, 2) GROUP BY 3""")
+def t2_t9_report_tilts(s, d):
+    """Tilts come with a group map and either flag; without the map there are none."""
+    n, f = _report(s, d)
+    out = n.full_tear(f, N, HP, show_ntile_tilts=True)["backtest"]
+    assert "tilts" not in Ntile(n.pricing)._backtest(out["tilts"], N, HP, True, True, False, True)
+    a = out["average_tilts"].select(F.lit("average").alias("kind"), F.col("ntile").cast("long").alias("ntile"), "grp", "tilt")
+    b = out["average_long_short_tilts"].select(F.lit("long short").alias("kind"), F.lit(None).cast("long").alias("ntile"), "grp", "tilt")
+    return r6(a.unionByName(b), "tilt")
+
+
+@query(f"""WITH {_STATS} SELECT bs.series, {_STATS_OUT} FROM bs JOIN md ON md.series = bs.series WHERE bs.series LIKE '% vs %'""")
+def t2_report_statistics(s, d):
+    n, f = _report(s, d)
+    return r6(n.full_tear(f, N, HP)["backtest"]["spread_stats"], *_STAT_COLS)
+
+
+@query(_SQL["g17_u4_own_statistic"])
+def u4_own_python_function(s, d):
+    """The caller's function over a pandas series, as a grouped aggregate."""
+    return r6(stats.per_series(_series(s, d), "best", lambda x: x.to_numpy().max()), "best")
+
+
+@query(f"""WITH {_PM}, {_RET}, k AS (SELECT date, id, count(*) AS n FROM pm GROUP BY 1, 2), dt AS (SELECT DISTINCT date FROM pm) SELECT (SELECT sum(n) FROM k)::BIGINT AS rows, (SELECT max(n) FROM k) AS most_rows_of_a_key,
+ (SELECT count(*) FROM dt) AS periods, (SELECT count(*) FROM dt WHERE isodow(date) = 1) AS starts_w, (SELECT count(*) FROM dt WHERE day(date) = 1) AS starts_m,
+ (SELECT count(*) FROM dt WHERE day(date) = 1 AND month(date) IN (1, 4, 7, 10)) AS starts_q, (SELECT count(*) FROM dt WHERE dayofyear(date) = 1) AS starts_a,
+ (SELECT count(DISTINCT id) FROM pm WHERE id NOT IN (SELECT id FROM ret)) AS ids_without_returns, (SELECT count(*) FROM dt WHERE date IN (SELECT date FROM ret)) AS periods_with_returns""")
+def pr20_o7_factor_facts(s, d):
+    f, r = pm_both(s, d)
+    x = factor_facts(f, r)
+    return s.createDataFrame([tuple(x.values())], ", ".join(f"{k.lower()} long" for k in x))
+
+
+@query("SELECT date, permno, ttm_mc FROM temp_rank_crsp_mc")
+def pr15_pr16_checked_columns(s, d):
+    return check_columns(["date", "permno", "ttm_mc"], read(s, d, "temp_rank_crsp_mc"))
+
+
+@query(f"WITH {_STC} SELECT date, permno, lag(prc, 1) OVER w AS prc, lag(shrout, 1) OVER w AS shrout FROM st WINDOW w AS (PARTITION BY permno ORDER BY date)")
+def w18_shift_all(s, d):
+    return q(s, d).query_timeseries_table("crsp.sd", ["prc", "shrout"], "*", "permno", adjust=False).shift_all(1).df
+
+
+@query(f"WITH {_STC} SELECT permno, date, prc FROM st WHERE NOT isnan(prc)")
+def o1_sk17_ordered_temp_view(s, d):
+    x = q(s, d).query_timeseries_table("crsp.sd", ["prc"], "*", "permno", adjust=False).dropna("prc").order_by("prc", "DESC").to_temp("mill_prices")
+    return x.spark.sql("SELECT permno, date, prc FROM mill_prices")
+
+
+@query("""WITH e AS (SELECT gvkey, max(date) AS og_cstat_date, max(cshoc) FILTER (NOT isnan(cshoc)) AS shares FROM cstat_sd WHERE gvkey IS NOT NULL AND date IS NOT NULL GROUP BY gvkey, year(date)),
+ x AS (SELECT *, CAST(last_day(make_date(year(og_cstat_date) + 1, 6, 1)) AS DATE) AS date FROM e)
+ SELECT x.date, x.og_cstat_date, x.gvkey, x.shares, l.lpermno AS permno FROM x LEFT JOIN crsp_cstat_link l ON l.gvkey = x.gvkey AND x.date > l.linkdt AND x.date < l.linkenddt
+ AND l.linktype IN ('LU', 'LC') AND l.linkprim IN ('P', 'C')""")
+def dt12_effective_dates_with_link(s, d):
+    """Yearly figures per company, in effect from June of the next year, with the permno linked on that date."""
+    x = read(s, d, "cstat_sd").where("gvkey IS NOT NULL AND date IS NOT NULL")
+    yearly = x.groupBy("gvkey", F.year("date").alias("y")).agg(F.max("date").alias("date"), F.max(F.nanvl("cshoc", F.lit(None))).alias("shares")).select("date", "gvkey", "shares")
+    return Query(s)._with(yearly, id="gvkey").add_date_to_fa_ff(read(s, d, "crsp_cstat_link")).df
+
+
+_CLOSED = ", ".join(f"'{x}'" for x in SPECIAL_CLOSINGS)
+
+
+@query(f"""WITH y AS (SELECT unnest(range(1975, 2025)) AS y), a AS (SELECT y, (19 * (y % 19) + y // 100 - y // 400 - (y // 100 - (y // 100 + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM y),
+ b AS (SELECT y, h, (32 + 2 * ((y // 100) % 4) + 2 * ((y % 100) // 4) - h - (y % 100) % 4) % 7 AS l FROM a), c AS (SELECT y, h + l - 7 * ((y % 19 + 11 * h + 22 * l) // 451) + 114 AS k FROM b),
+ gf AS (SELECT CAST(make_date(y, k // 31, k % 31 + 1) - INTERVAL 2 DAY AS DATE) AS d FROM c),
+ el AS (SELECT CAST(make_date(y, 11, 1) + INTERVAL 1 DAY * ((8 - isodow(make_date(y, 11, 1))) % 7 + 1) AS DATE) AS d FROM y WHERE y IN (1976, 1980))
+ SELECT trading_days AS date FROM trading_cal WHERE trading_days BETWEEN '1975-01-01' AND '2024-12-31' AND trading_days NOT IN (SELECT d FROM gf) AND trading_days NOT IN (SELECT d FROM el)
+ AND strftime(trading_days, '%Y-%m-%d') NOT IN ({_CLOSED})""")
+def dt13_exchange_days(s, d):
+    """Exchange days by rule; the delivered calendar holds Good Fridays, election days and unscheduled closings as well."""
+    return trading_days(s, "1975-01-01", "2024-12-31")
+
+
+@query("""SELECT o_orderkey, CAST(date_trunc('quarter', o_orderdate) AS TIMESTAMP) AS quarter, CAST(o_orderdate AS TIMESTAMP) AS stamp FROM orders""")
+def dt1_dt5_dt8_dt14_text_dates(s, d):
+    """Dates given as text with a format: to periods by a configuration and its copy, and to timestamps."""
+    x = read(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("quarter"), F.date_format("o_orderdate", "yyyyMMdd").alias("stamp"))
+    c = DateConfig("M", target_data_type="timestamp", date_format="%d/%m/%Y")
+    x = c.copy(freq="Q").configure_dates(x, "quarter")
+    return c.copy(freq="D", date_format="%Y%m%d").configure_dates(x, "stamp")
+
+
+@query("""SELECT o_custkey, CAST(date_trunc('year', o_orderdate) AS DATE) AS ordered, CAST(max_by(date_trunc('year', o_orderdate + INTERVAL 60 DAY), o_orderkey) AS DATE) AS due, max_by(o_totalprice, o_orderkey) AS price
+ FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1 GROUP BY 1, 2""")
+def dt7_last_of_year_by_one_of_two_dates(s, d):
+    o = read(s, d, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("ordered")).agg(F.max_by("o_totalprice", "o_orderkey").alias("price"))
+    x = o.withColumn("due", F.date_add("ordered", 60)).select("o_custkey", "ordered", "due", "price")
+    return DateConfig("A", resample=True, resample_key="ordered", grouper_keys=["o_custkey"]).configure_dates(x, ["ordered", "due"])
+
+
+@query("SELECT unnest(['D', 'W', 'M', 'Q', 'Y', 'A']) AS freq, unnest(['Daily', 'Weekly', 'Monthly', 'Quarterly', 'Yearly', 'Yearly']) AS name, unnest([252, 52, 12, 4, 1, 1]) AS periods")
+def dt9_st7_frequencies(s, d):
+    return s.createDataFrame([(f, period_name(f), annualization(f)) for f in "DWMQYA"], "freq string, name string, periods int")
+
+
+@query(f"WITH {_STC} SELECT permno AS id, count(DISTINCT date) AS days FROM st WHERE NOT isnan(prc) AND NOT isnan(cfacpr) AND cfacpr <> 0 AND date IN (SELECT trading_days FROM trading_cal WHERE year(trading_days) = 2024) GROUP BY 1")
+def sc18_portal_assets(s, d):
+    """Assets of a pricing portal with the days it has prices for."""
+    p = PricingPortal(q(s, d), "*", "permno", "2024-01-01", "2024-12-31", calendar=calendar(s, d))
+    return p.assets.join(p.prices, "id").groupBy("id").agg(F.count_distinct("date").alias("days"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -12,34 +12,33 @@ from panelmill.operators import backtest, ic, stats, turnover
 from panelmill.operators.cross import bucket_factor
 from panelmill.operators.panel import check_columns, check_factor, clean_panel, positions
 from panelmill.operators.returns import aligned_panel, in_factor_range
+from panelmill.session import Tables, written
 
 
 class Ntile:
     """Quantile reports of a factor over a pricing panel and, optionally, a group map.
 
     pricing: an object with .returns (date, id, ret, dense) and .freq; groups: one with .groups (id, grp). Every
-    method returns {report: {output: DataFrame}}; nothing runs until an action, but for the input checks. The
-    bucketed and the aligned panel are the only frames that are persisted; call clear() to release them.
+    method returns {report: {output: DataFrame}}; outputs run when they are asked for. Before that only the input checks
+    run, and the bucketed and the aligned panel are written where a report has them: all its outputs read these files,
+    which clear() deletes.
     """
 
     def __init__(self, pricing_portal, group_portal=None):
         self.pricing, self.group = pricing_portal, group_portal
-        self._held: list[DataFrame] = []
+        self._held = Tables(pricing_portal.returns.sparkSession)
 
     def clear(self) -> None:
-        for df in self._held:
-            df.unpersist()
-        self._held = []
+        self._held.clear()
 
-    def _prepare(self, factor: DataFrame, buckets: int, check: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-        self.clear()
+    def _prepare(self, factor: DataFrame, buckets: int = 1, needs: str = "") -> tuple:
+        """(factor, bucketed panel, aligned panel), of the latter two those that are needed: 'b', 'ba' or none."""
         f = clean_panel(check_columns(["date", "id", "factor"], factor), "factor")
-        if check:
-            for text in check_factor(f, self.pricing.returns):
-                warnings.warn(text, stacklevel=3)
-        b = bucket_factor(f, buckets).persist()
-        a = aligned_panel(b, self.pricing.returns).persist()
-        self._held = [b, a]
+        for text in check_factor(f, self.pricing.returns, freq=self.pricing.freq):
+            warnings.warn(text, stacklevel=3)
+        with self._held:
+            b = written(bucket_factor(f, buckets), "bucketed") if "b" in needs else None
+            a = written(aligned_panel(b, self.pricing.returns), "aligned") if "a" in needs else None
         return f, b, a
 
     def _inspection(self, b: DataFrame, buckets: int) -> dict:
@@ -77,7 +76,7 @@ class Ntile:
         }
 
     def full_tear(self, factor, buckets, holding_period, long_short=True, market_neutral=True, show_uni=False, show_ntile_tilts=False) -> dict:
-        f, b, a = self._prepare(factor, buckets)
+        f, b, a = self._prepare(factor, buckets, "ba")
         return {
             "coverage": {"coverage": backtest.coverage(f, in_factor_range(self.pricing.returns, f))},
             "inspection": self._inspection(b, buckets),
@@ -87,23 +86,23 @@ class Ntile:
         }
 
     def ntile_backtest_tear(self, factor, buckets, holding_period, long_short=True, market_neutral=True, show_uni=False, show_ntile_tilts=False) -> dict:
-        _, _, a = self._prepare(factor, buckets)
+        _, _, a = self._prepare(factor, buckets, "ba")
         return {"backtest": self._backtest(a, buckets, holding_period, long_short, market_neutral, show_uni, show_ntile_tilts)}
 
     def ntile_inspection_tear(self, factor, buckets) -> dict:
-        _, b, _ = self._prepare(factor, buckets)
+        _, b, _ = self._prepare(factor, buckets, "b")
         return {"inspection": self._inspection(b, buckets)}
 
     def ntile_ic_tear(self, factor, holding_period) -> dict:
-        f, _, _ = self._prepare(factor, 1)
+        f, _, _ = self._prepare(factor)
         return {"ic": self._ic(f, holding_period)}
 
     def ntile_turnover_tear(self, factor, buckets, holding_period) -> dict:
-        f, b, _ = self._prepare(factor, buckets)
+        f, b, _ = self._prepare(factor, buckets, "b")
         return {"turnover": self._turnover(f, b, holding_period)}
 
     def ntile_ic_horizon(self, factor, intervals, show_individual=False) -> dict:
-        f, _, _ = self._prepare(factor, 1)
+        f, _, _ = self._prepare(factor)
         out = {"horizon": {"summary": ic.ic_horizon(f, self.pricing.returns, list(intervals))}}
         if show_individual:
             out |= {f"ic_{h}": self._ic(f, h) for h in sorted(set(intervals))}

@@ -52,7 +52,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-_SCOPES: list[list[str]] = []
+_OWNERS: list["Tables"] = []
+
+
+class Tables:
+    """Written tables of one owner: those written inside `with tables:` are deleted by tables.clear()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Tables":
+        _OWNERS.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OWNERS.remove(self)
+
+    def clear(self) -> None:
+        while self.paths:
+            _remove(self.spark, self.paths.pop())
 
 
 @contextmanager
@@ -61,12 +79,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
     Without it they stay until the driver ends, as the frames that read them may be run at any time.
     """
-    _SCOPES.append([])
+    tables = Tables(spark)
     try:
-        yield
+        with tables:
+            yield
     finally:
-        for path in _SCOPES.pop():
-            _remove(spark, path)
+        tables.clear()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -79,12 +97,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is removed at the end of the scratch() block, else when the driver ends."""
+    """A fresh path in the shared folder; it is removed by its owner (Tables, scratch), at the latest when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
-    else:
-        atexit.register(_remove, spark, path)
+    if _OWNERS:
+        _OWNERS[-1].paths.append(path)
+    atexit.register(_remove, spark, path)
     return path
 
 

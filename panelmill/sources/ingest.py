@@ -63,25 +63,33 @@ def shape(spark: SparkSession, spec: dict, rows_to_interpret: int = 5000) -> Dat
     return lower_case(df)
 
 
-def ingest(spark: SparkSession, specs: list[dict], overwrite: bool = False, rows_to_interpret: int = 5000, partitions: int = 64) -> list[str]:
-    """Write every spec as schema.table (parquet) and return the names. With index, rows are bucketed and sorted by it.
+def ingest(spark: SparkSession, specs: list[dict], overwrite: bool = False, rows_to_interpret: int = 5000, partitions: int = 64, folder: str | None = None) -> list[str]:
+    """Write every spec as schema.table (parquet) and return the names. With index, rows are bucketed and sorted by it, in
+    `partitions` buckets (a spec may have its own), to be chosen by the size of the table.
 
-    An existing table is an error unless overwrite.
+    An existing table is an error unless overwrite. Tables lie in the warehouse, or in `folder` where one is given.
     """
     names = []
     for spec in specs:
         name = f"{spec['schema']}.{spec['table']}"
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {spec['schema']}")
+        _create_schema(spark, spec["schema"], folder)
         w = shape(spark, spec, rows_to_interpret).write.format("parquet").mode("overwrite" if overwrite else "errorifexists")
         keys = spec.get("index")
         if keys:
             keys = [keys] if isinstance(keys, str) else list(keys)
-            w = w.bucketBy(partitions, *keys).sortBy(*keys)
+            w = w.bucketBy(spec.get("partitions", partitions), *keys).sortBy(*keys)
+        if folder:
+            w = w.option("path", f"{folder.rstrip('/')}/{name}")
         w.saveAsTable(name)
         names.append(name)
     return names
 
 
+def _create_schema(spark: SparkSession, schema: str, folder: str | None) -> None:
+    at = f" LOCATION '{folder.rstrip('/')}/{schema}.db'" if folder else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}{at}")
+
+
 def drop_schema(spark: SparkSession, schema: str) -> None:
     spark.sql(f"DROP DATABASE IF EXISTS {schema} CASCADE")
 
@@ -102,6 +110,27 @@ def sql(spark: SparkSession, text: str, args: dict | None = None) -> DataFrame:
     return spark.sql(text, args=args or {})
 
 
+class Connection:
+    """SQL on the shared session: execute, set_threads, close. Closing ends this object, not the session others use."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.closed = spark, False
+
+    def execute(self, text: str, args: dict | None = None) -> DataFrame:
+        if self.closed:
+            raise ValueError("The connection is closed")
+        return sql(self.spark, text, args)
+
+    def set_threads(self, threads: int) -> None:
+        """How many tasks a shuffle is split into at most; the cluster's cores are set where the session is made."""
+        if threads < 1:
+            raise ValueError("threads must be positive")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(threads))
+
+    def close(self) -> None:
+        self.closed = True
+
+
 class Store:
     """Named parquet results under one folder of ours: built universes, fund universes and cached queries."""
 
@@ -223,10 +252,13 @@ def _source(leaf) -> str | None:
     return leaf.relation().fileFormat().toString() + options + re.sub(r"access_time=\d+", "", at.allFiles().mkString("\n"))
 
 
-def save_ranks(spark: SparkSession, ranks: DataFrame, schema: str, table: str) -> str:
+def save_ranks(spark: SparkSession, ranks: DataFrame, schema: str, table: str, folder: str | None = None) -> str:
     """Persist a ranking as a catalog table, clustered by date so that date ranges skip files."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
-    ranks.repartitionByRange("date").sortWithinPartitions("date").write.format("parquet").mode("overwrite").saveAsTable(f"{schema}.{table}")
+    _create_schema(spark, schema, folder)
+    w = ranks.repartitionByRange("date").sortWithinPartitions("date").write.format("parquet").mode("overwrite")
+    if folder:
+        w = w.option("path", f"{folder.rstrip('/')}/{schema}.{table}")
+    w.saveAsTable(f"{schema}.{table}")
     return f"{schema}.{table}"
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from panelmill.functions.dates import annualization
 from panelmill.operators.panel import positions
 from panelmill.operators.returns import simple_returns
+from panelmill.session import written
 from panelmill.sources.query import Query
 
 
 class BasePortal:
-    """What every portal offers: assets, name."""
+    """What every portal offers: name and assets; prices have periods and delta_data, groups group_information and group_mapping."""
 
     name = "portal"
 
@@ -20,6 +21,23 @@ class BasePortal:
     def assets(self) -> DataFrame:
         raise NotImplementedError
 
+    @property
+    def periods(self) -> DataFrame:
+        raise NotImplementedError
+
+    @property
+    def delta_data(self) -> DataFrame:
+        raise NotImplementedError
+
+    @property
+    def group_information(self) -> DataFrame:
+        raise NotImplementedError
+
+    @property
+    def group_mapping(self) -> dict:
+        """{id: group} on the driver, for small universes."""
+        raise NotImplementedError
+
 
 class PricingPortal(BasePortal):
     """Returns of assets: adjusted prices of the table on exchange days, missing prices left out, then simple returns."""
@@ -28,11 +46,14 @@ class PricingPortal(BasePortal):
 
     def __init__(self, query: Query, assets, search_by: str, start_date: str, end_date: str, field: str = "prc", table: str = "crsp.sd", freq: str = "D", calendar="NYSE"):
         annualization(freq)
-        q = query.query_timeseries_table(table, [field], assets, search_by, start_date, end_date).distinct()
-        days = calendar
-        q = q.set_calendar(days).order_by("date").dropna(field) if days is not None else q.dropna(field)
+        q = query.query_timeseries_table(table, [field], assets, search_by, start_date, end_date).dropna(field).distinct()
+        if calendar is not None:
+            # days without a price would be dropped again: the calendar only selects
+            q = q._with(q.df.join(q.calendar_days(calendar), "date", "left_semi"))
         self.freq, self.id = freq, search_by
-        self.prices = (q.set_freq(freq) if freq != "D" else q).df.select("date", F.col(search_by).alias("id"), F.col(field).alias("price"))
+        prices = (q.set_freq(freq) if freq != "D" else q).df.select("date", F.col(search_by).alias("id"), F.col(field).alias("price"))
+        # written once: ids, dates and prices of the grid of returns are read from it
+        self.prices = written(prices, "prices")
         self.returns = simple_returns(self.prices)
 
     @classmethod
@@ -80,6 +101,10 @@ class SectorPortal(BasePortal):
     def group_information(self) -> DataFrame:
         return self.groups
 
+    @property
+    def group_mapping(self) -> dict:
+        return {r["id"]: r["grp"] for r in self.groups.toLocalIterator()}
+
 
 class TimeVaryingGroups(BasePortal):
     """Groups valid from a date on, (id, since, grp); the group of an (id, date) is the last one known."""

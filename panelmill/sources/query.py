@@ -163,18 +163,19 @@ class Query:
 
     # ---- time ------------------------------------------------------------------------------------------------
 
+    def calendar_days(self, calendar="NYSE") -> DataFrame:
+        """(date) of a calendar within the query's range."""
+        if isinstance(calendar, DataFrame):
+            return self._between(calendar.select("date").distinct(), self.start, self.end)
+        days = trading_days(self.spark, _full_date(self.start), _full_date(self.end), calendar)
+        return days.where(F.col("date") < F.to_date(F.lit(_full_date(self.end)))) if calendar.lower() == "full" else days
+
     def set_calendar(self, calendar="NYSE") -> Query:
         """One row per id and calendar day of the query's range, null where there was none; other days fall away. NaN is null.
 
         'full' is every day, the end excluded. A DataFrame with a date column is taken as the calendar.
         """
-        if isinstance(calendar, DataFrame):
-            days = self._between(calendar.select("date").distinct(), self.start, self.end)
-        else:
-            days = trading_days(self.spark, _full_date(self.start), _full_date(self.end), calendar)
-            if calendar.lower() == "full":
-                days = days.where(F.col("date") < F.to_date(F.lit(_full_date(self.end))))
-        grid = dense_grid(self.df, days, id=self.id).drop("pos")
+        grid = dense_grid(self.df, self.calendar_days(calendar), id=self.id).drop("pos")
         kinds = dict(self.df.dtypes)
         seen = [F.nanvl(F.col(c), F.lit(None)).alias(c) if kinds[c] in ("double", "float") and c != self.id else F.col(c) for c in self.df.columns]
         return self._with(grid.join(self.df, ["date", self.id], "left").select(*seen))
@@ -227,13 +228,14 @@ class Query:
         return self._with(self._assets(self.df, assets, by, self.start, self.end), id=by if reindex else self.id)
 
     def add_date_to_fa_ff(self, link: DataFrame | None = None, only_keep_primary: bool = True, link_cols: list[str] | None = None) -> Query:
-        """Annual statements take effect on 30 June of the next year; optionally with the permno linked on that date."""
-        d = F.last_day(F.add_months(F.trunc("date", "year"), 17))
-        q = self._with(self.df.withColumn("date", d))
+        """Annual statements take effect on 30 June of the next year; their own date stays as og_cstat_date. Optionally with the
+        permno linked on the effective date: lpermno of link_cols comes out as permno."""
+        d = F.last_day(F.add_months(F.trunc("og_cstat_date", "year"), 17))
+        q = self._with(self.df.withColumnRenamed("date", "og_cstat_date").withColumn("date", d).select("date", "og_cstat_date", *[c for c in self.df.columns if c != "date"]))
         if link is None:
             return q
         kinds = "linktype IN ('LU', 'LC')" + (" AND linkprim IN ('P', 'C')" if only_keep_primary else "")
-        return q.add_linker_table(link, {"gvkey": "gvkey"}, link_cols or ["lpermno"], "linkdt", "linkenddt", kinds)
+        return q.add_linker_table(link, {"gvkey": "gvkey"}, link_cols or ["lpermno"], "linkdt", "linkenddt", kinds).rename({"lpermno": "permno"})
 
     def join_funda_to_table_ff(self, funda: Query | DataFrame, on: dict[str, str], tolerance_days: int = 390, join_type: str = "INNER") -> Query:
         """Each row with the latest annual values in effect on its date and not older than tolerance_days.

@@ -579,3 +579,135 @@ def test_pivot_and_clean_factor(spark):
     assert rows(got) == [(dt.date(2024, 1, 2), "a", 1.0), (dt.date(2024, 1, 3), "b", 4.0)]
     with pytest.raises(ValueError, match="date_format"):
         price_pivot(df, "x", ["a"])
+
+
+# ---- session, connection, checks
+
+
+def test_written_tables_go_with_their_owner(spark):
+    from panelmill.session import Tables, scratch, table_path, written
+
+    there = lambda df: [os.path.exists(p.removeprefix("file://")) for p in df.inputFiles()]
+    outside = written(spark.range(3), "test")
+    with scratch(spark):
+        inside = written(spark.range(3), "test")
+        with Tables(spark) as own:
+            kept = written(spark.range(3), "test")
+        assert inside.count() == 3
+    assert not any(there(inside)) and all(there(outside)) and all(there(kept))
+    own.clear()
+    assert not any(there(kept)) and table_path(spark, "x") != table_path(spark, "x")
+
+
+def test_shared_folder_is_required_off_one_machine(spark):
+    from types import SimpleNamespace
+
+    from panelmill.session import shared_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(far)
+
+
+def test_broadcast_only_up_to_a_counted_size(spark):
+    from panelmill.session import fetched, small
+
+    df = spark.range(10).select(F.col("id").alias("k"), F.date_add(F.lit(D(0)), F.col("id").cast("int")).alias("date"))
+    for make in (small, fetched):
+        hinted = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
+        assert hinted(make(df, 10)) and not hinted(make(df, 9))
+        assert rows(make(df, 10)) == rows(df) == rows(make(df, 9)) and make(df, 10).schema == df.schema
+        assert make(df.limit(0), 10).count() == 0
+
+
+def test_connection(spark):
+    from panelmill.sources.ingest import Connection
+
+    c, before = Connection(spark), spark.conf.get("spark.sql.shuffle.partitions")
+    c.set_threads(3)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "3" and c.execute("SELECT :a + 1 AS b", {"a": 1}).first()["b"] == 2
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError):
+        c.set_threads(0)
+    c.close()
+    with pytest.raises(ValueError, match="closed"):
+        c.execute("SELECT 1")
+    assert spark.range(1).count() == 1
+
+
+@pytest.mark.parametrize("freq,step,ok", [("M", 1, True), ("M", 3, False), ("Q", 3, True), ("Q", 1, False), ("A", 12, True), ("Y", 12, True), ("D", 1, False), ("W", 1, False)])
+def test_factor_and_returns_of_one_frequency(spark, freq, step, ok):
+    days = [dt.date(2010 + m // 12, m % 12 + 1, 1) for m in range(0, 48, step)]
+    f = spark.createDataFrame([(d, "a", 1.0) for d in days], "date date, id string, factor double")
+    r = f.select("date", "id", F.col("factor").alias("ret"))
+    if ok:
+        check_factor(f, r, freq=freq)
+    else:
+        with pytest.raises(ValueError, match="frequency"):
+            check_factor(f, r, freq=freq)
+    check_factor(f.limit(2), r, freq="D")  # two dates say nothing
+
+
+def test_resampling_many_rows_without_grouper_warns(spark):
+    c = dates.DateConfig("M", resample=True)
+    x = spark.range(10_001).select(F.date_add(F.lit(D(0)), (F.col("id") % 50).cast("int")).alias("date"), "id")
+    with pytest.warns(UserWarning, match="without grouper_keys"):
+        c.configure_dates(x, "date")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        c.configure_dates(x.limit(10_000), "date")
+        c.copy(grouper_keys=["id"]).configure_dates(x, "date")
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(1, 25), st.integers(1, 6), st.integers(1, 7), st.integers(1, 9), st.booleans())
+def test_fold_rows_follow_from_positions(spark, n, eval_days, refit, start, roll):
+    from panelmill.operators.walkforward import fold_count, fold_rows
+
+    panel = spark.range(n).select((F.col("id")).cast("int").alias("pos"), F.date_add(F.lit(D(0)), F.col("id").cast("int")).alias("date"))
+    k = fold_count(n, eval_days, refit, start)
+    train, ask = fold_rows(panel, k, eval_days, refit, start, start if roll else None)
+    want_train, want_ask = [], []
+    for i in range(k):
+        te = i * refit + start - 1
+        want_train += [(i, p) for p in range(te - start + 1 if roll else 0, te + 1)]
+        want_ask += [(i, p) for p in range(te + eval_days + 1, min(te + eval_days + refit, n - 1) + 1)]
+    assert sorted(map(tuple, train.select("fold", "pos").collect())) == sorted(want_train)
+    assert sorted(map(tuple, ask.select("fold", "pos").collect())) == sorted(want_ask)
+
+
+def test_horizons_in_one_pass_equal_single_ones(spark):
+    rng = np.random.default_rng(4)
+    f = spark.createDataFrame([(D(k), i, float(rng.normal())) for k in range(12) for i in range(9) if rng.random() < 0.9], "date date, id int, factor double")
+    r = spark.createDataFrame([(D(k), i, float(rng.normal(0, 0.05))) for k in range(14) for i in range(9)], "date date, id int, ret double")
+    got = {x["horizon"]: tuple(x)[1:] for x in ic.ic_horizon(f, r, [3, 1, 3]).collect()}
+    assert got == {f"{h}D": tuple(ic.ic_summary(ic.daily_ic(f, r, h), h).first())[1:] for h in (1, 3)}
+    with pytest.raises(ValueError):
+        ic.ic_horizon(f, r, [])
+
+
+def test_effective_dates_keep_the_old_date_and_link(spark):
+    x = spark.createDataFrame([(dt.date(2020, 12, 31), "g", 5.0), (dt.date(2021, 3, 1), "h", 6.0)], "date date, gvkey string, v double")
+    link = spark.createDataFrame(
+        [("g", 1, dt.date(2021, 6, 29), dt.date(2021, 7, 1), "LU", "P"), ("g", 2, dt.date(2021, 6, 30), dt.date(2022, 1, 1), "LC", "C"), ("g", 3, dt.date(2020, 1, 1), dt.date(2022, 1, 1), "LU", "J"),
+         ("g", 4, dt.date(2020, 1, 1), dt.date(2022, 1, 1), "NR", "P")], "gvkey string, lpermno int, linkdt date, linkenddt date, linktype string, linkprim string",
+    )
+    q = Query(spark)._with(x, id="gvkey")
+    assert q.add_date_to_fa_ff().fields == ["date", "og_cstat_date", "gvkey", "v"]
+    day = lambda y: dt.date(y, 6, 30)
+    got = q.add_date_to_fa_ff(link).df
+    assert got.columns == ["date", "og_cstat_date", "gvkey", "v", "permno"]
+    assert rows(got) == sorted([(day(2021), dt.date(2020, 12, 31), "g", 5.0, 1), (day(2022), dt.date(2021, 3, 1), "h", 6.0, None)], key=str)
+    assert {r["permno"] for r in q.add_date_to_fa_ff(link, only_keep_primary=False).df.collect()} == {1, 3, None}
+
+
+def test_reports_survive_the_next_report_until_cleared(spark):
+    f, r = small(spark)
+    n = Ntile(type("P", (), {"freq": "D", "returns": r}))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        first = n.ntile_inspection_tear(f, 2)["inspection"]["count"]
+        n.ntile_turnover_tear(f, 2, 1)
+    assert first.count() == 3 and n._held.paths
+    n.clear()
+    assert not n._held.paths
