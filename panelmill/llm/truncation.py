@@ -68,12 +68,14 @@ METRICS = [
 
 
 def text_features(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """Per text: its lengths under all metrics and the whole of it as _end, line ends as \\n and trailing white space removed."""
+    """Per text: its lengths under all metrics, the whole of it as _end, line ends as \\n and trailing white space removed, and
+    _tail, the last line where it may be a trailer: it stands apart and closes nothing."""
     m = length_metrics()
     base = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     end = _trim_end(F.replace(F.col("_text"), F.lit("\r\n"), F.lit("\n")))
     counted = base.select("_k", "_s", F.xxhash64("_text").alias("_h"), end.alias("_end"), *[c.alias(n) for n, c in length_counts("_text").items()])
-    return counted.select("_k", "_s", "_h", F.array(*[m[x].cast("int") for x in METRICS]).alias("_len"), "_end")
+    tail = F.when((F.col("_end") != "") & _line_is_apart("_end") & ~_last_line("_end").rlike(CLOSER), F.trim(_last_line("_end")))
+    return counted.select("_k", "_s", "_h", F.array(*[m[x].cast("int") for x in METRICS]).alias("_len"), "_end", tail.alias("_tail"))
 
 
 def _stands_out(n: Column, mean: Column) -> Column:
@@ -112,16 +114,12 @@ def _last_line(c: str) -> Column:
     return F.substring_index(F.col(c), "\n", -1)
 
 
-def _without_last_line(c: str) -> str:
-    return f"left({c}, greatest(length({c}) - length(substring_index({c}, '\n', -1)), 0))"
-
-
 def _line_is_apart(c: str) -> Column:
     """The last line stands apart from the text before it: marked as a comment or rule, or after an empty line, or all there is."""
-    marked = F.startswith(_last_line(c), F.lit("%")) | F.startswith(_last_line(c), F.lit("--"))
-    ended = _without_last_line(c)
-    line_before = F.substring_index(F.expr(f"rtrim(' \t', left({ended}, greatest(length({ended}) - 1, 0)))"), "\n", -1)
-    return marked | (line_before == "")
+    last, two = _last_line(c), F.substring_index(F.col(c), "\n", -2)
+    marked = F.startswith(last, F.lit("%")) | F.startswith(last, F.lit("--"))
+    all_there_is = F.octet_length(two) == F.octet_length(last)
+    return marked | all_there_is | (F.rtrim(F.substring_index(two, "\n", 1), F.lit(" \t")) == "")
 
 
 def _without_trailers() -> Column:
@@ -139,7 +137,7 @@ def _ends_whole() -> Column:
     in the paragraph), which are made beforehand so that none is computed twice.
     """
     e, line, whole = F.col("_end"), F.col("_line"), ~F.col("_odd")
-    closer = e.rlike(CLOSER) | line.rlike(r"\\(input|include)\{[^{}]*\}$")
+    closer = line.rlike(CLOSER) | line.rlike(r"\\(input|include)\{[^{}]*\}$")
     sentence = line.rlike(r"[.!?…][)\]}'\"»”]*$") & ~line.rlike(r"\.\.\.$|…$|^\s*\\bibitem") & whole
     formula = line.rlike(r"\\\]$|\$\$$")
     reference = line.rlike(r"^\s*\[\d+\] .*\b\d{4}\.?$")
@@ -148,7 +146,9 @@ def _ends_whole() -> Column:
 
 
 def _with_ending_parts(df: DataFrame) -> DataFrame:
-    x = df.withColumn("_line", _last_line("_end")).withColumn("_para", F.substring_index(F.regexp_replace("_end", r"\n[ \t]+\n", "\n\n"), "\n\n", -1))
+    # from the last empty line on, and in it from the last line of blanks on: the rest of the text is not searched
+    block = F.concat(F.lit("\n"), F.substring_index(F.col("_end"), "\n\n", -1))
+    x = df.withColumn("_line", _last_line("_end")).withColumn("_para", F.substring_index(F.regexp_replace(block, r"\n[ \t]+\n", "\n\n"), "\n\n", -1))
     dollars = _count(F.replace(F.col("_para"), F.lit("\\$")), "$")
     return x.withColumn("_odd", (_count(F.col("_para"), "{") > _count(F.col("_para"), "}")) | (dollars % 2 != 0))
 
@@ -177,8 +177,7 @@ def cut_texts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
     # trailers, of texts on no limit
     total = sources.agg(F.sum("_docs")).first()[0] or 0
-    tail = at.where(F.col("_hit").isNull() & (F.col("_end") != "")).where(_line_is_apart("_end") & ~F.col("_end").rlike(CLOSER))
-    tail = tail.select("_k", "_s", "_docs", F.trim(_last_line("_end")).alias("_line")).where("_line <> ''")
+    tail = at.where(F.col("_hit").isNull() & (F.col("_tail") != "")).select("_s", "_docs", F.col("_tail").alias("_line"))
     # a last line may be a text of its own: hashes are counted, and only lines that recur are fetched
     marks = written(tail.groupBy(F.sha2("_line", 256).alias("_hash"), "_s").agg(F.count("*").alias("_n"), F.max("_docs").alias("_docs")), "marks")
     often = marks.groupBy("_hash").agg(F.sum("_n").alias("_all")).where(F.col("_all") >= LEAST_TRAILERS)
@@ -196,7 +195,7 @@ def cut_texts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
         "_trailers", F.array_union(F.coalesce("_own", F.array().cast("array<string>")), F.array(*[F.lit(s) for s in sorted(general)]).cast("array<string>"))
     )
     x = x.withColumn("_end", F.when(F.array_contains("_trailers", F.trim(_last_line("_end"))), _without_trailers()).otherwise(F.col("_end")))
-    final = F.col("_end").rlike(r"\\end\{(document|thebibliography)\}$|\\bibliography\{[^{}\n]*\}$")
+    final = _last_line("_end").rlike(r"\\end\{(document|thebibliography)\}$|\\bibliography\{[^{}\n]*\}$")
     by_limit = F.col("_hit").isNotNull() & ~final
     x = _with_ending_parts(x)
     by_end = ~_ends_whole()
