@@ -145,23 +145,11 @@ _NN = "CASE WHEN NOT isnan({0}) THEN {0} END"
 # ---- scans, projections, filters ----------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_STC} SELECT date, permno, round(abs(prc / nullif(cfacpr, 0)), 6) AS prc, round(shrout * cfacshr, 6) AS shrout FROM st
- WHERE date BETWEEN '2024-03-01' AND '2024-06-30' AND permno IN (SELECT permno FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20 AND date BETWEEN '2024-03-01' AND '2024-06-30')""")
-def sc1_sc6_adjusted_scan_of_universe(s, d):
-    x = q(s, d).query_timeseries_table("crsp.sd", ["prc", "shrout"], "TOP_20", "permno", "2024-03-01", "2024-06-30")
-    return r6(x.df, "prc", "shrout")
-
-
 @query("SELECT permno, shrcd, min(date) AS min_date, max(date) AS max_date FROM crsp_sd GROUP BY 1, 2")
 def sc2_sc5_static_attributes(s, d):
     return q(s, d).query_static_table("crsp.raw", ["shrcd"], "*", "permno").df
 
 
-@query("SELECT DISTINCT date, permno FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20 AND date BETWEEN '2024-02-01' AND '2024-05-31'")
-def sc3_universe_scan(s, d):
-    return q(s, d).query_universe_table("TOP_20", ["permno"], "2024-02-01", "2024-05-31").distinct().df
-
-
 _TOP = "(SELECT {}(date) FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20)"
 
 
@@ -174,14 +162,14 @@ def _span(x: DataFrame) -> tuple[str, str]:
 @query(f"""WITH {_STC} SELECT date, permno, round(abs(prc / nullif(cfacpr, 0)), 6) AS prc, round(shrout * cfacshr, 6) AS shrout FROM st
  WHERE permno IN (SELECT permno FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20 AND date BETWEEN (SELECT min(date) FROM crsp_sd) AND (SELECT max(date) FROM crsp_sd))
  AND date IS NOT NULL""")
-def sc1_sc6_adjusted_scan_of_universe_whole(s, d):
+def sc1_sc6_adjusted_scan_of_universe(s, d):
     """From the first to the last date of the daily file."""
     x = q(s, d).query_timeseries_table("crsp.sd", ["prc", "shrout"], "TOP_20", "permno", *_span(read(s, d, "crsp_sd")))
     return r6(x.df, "prc", "shrout")
 
 
 @query(f"SELECT DISTINCT date, permno FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20 AND date BETWEEN {_TOP.format('min')} AND {_TOP.format('max')}")
-def sc3_universe_scan_whole(s, d):
+def sc3_universe_scan(s, d):
     """From the first to the last date of the universe, both included."""
     x = q(s, d)
     return x.query_universe_table("TOP_20", ["permno"], *_span(x.universes["TOP_20"])).distinct().df
@@ -192,13 +180,8 @@ def sc4_table_without_dates(s, d):
     return q(s, d).query_no_date_table("link.crsp_cstat_link", ["gvkey", "gsector"], "*", "lpermno").df
 
 
-@query("SELECT date, permno, prc FROM crsp_sd WHERE permno IN (10001, 10002, 10007)")
-def sc7_j1_asset_list(s, d):
-    return q(s, d).query_timeseries_table("crsp.raw", ["prc"], [10001, 10002, 10007], "permno", adjust=False).df
-
-
 @query("SELECT date, permno, prc FROM crsp_sd WHERE permno IS NOT NULL")
-def sc7_j1_asset_list_whole(s, d):
+def sc7_j1_asset_list(s, d):
     """The list is that of all ids of the table."""
     ids = [r[0] for r in read(s, d, "crsp_sd").select("permno").dropna().distinct().collect()]
     return q(s, d).query_timeseries_table("crsp.raw", ["prc"], ids, "permno", adjust=False).df
@@ -352,17 +335,6 @@ def _days_of(s, d, x: DataFrame, date: str) -> DataFrame:
     return calendar(s, d).where(F.col("date").between(lo, hi))
 
 
-_DAYS = "dz AS (SELECT trading_days AS date FROM trading_cal WHERE trading_days BETWEEN '1995-01-01' AND '1996-12-31')"
-
-
-@query(f"""WITH {_DAYS}, h AS (SELECT DISTINCT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS snap, l_returnflag AS fund, l_suppkey AS id FROM lineitem WHERE l_quantity >= 45),
- sp AS (SELECT fund, snap, coalesce(lead(snap) OVER (PARTITION BY fund ORDER BY snap) - 1, DATE '1996-12-31') AS until FROM (SELECT DISTINCT fund, snap FROM h))
- SELECT dz.date, h.fund, h.id FROM sp JOIN dz ON dz.date BETWEEN sp.snap AND sp.until JOIN h ON h.fund = sp.fund AND h.snap = sp.snap""")
-def j8_sk13_holdings_universe(s, d):
-    h = read(s, d, "lineitem").where("l_quantity >= 45").select(to_period("l_shipdate", "Q").alias("date"), F.col("l_returnflag").alias("fund"), F.col("l_suppkey").alias("id"))
-    return holdings_universe(h, calendar(s, d).where("date BETWEEN '1995-01-01' AND '1996-12-31'"), "fund", "id")
-
-
 _SHIPPED = "(SELECT CAST({}(l_shipdate) AS DATE) FROM lineitem)"
 
 
@@ -370,36 +342,18 @@ _SHIPPED = "(SELECT CAST({}(l_shipdate) AS DATE) FROM lineitem)"
  h AS (SELECT DISTINCT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS snap, l_returnflag AS fund, l_suppkey AS id FROM lineitem),
  sp AS (SELECT fund, snap, coalesce(lead(snap) OVER (PARTITION BY fund ORDER BY snap) - 1, {_SHIPPED.format("max")}) AS until FROM (SELECT DISTINCT fund, snap FROM h))
  SELECT dz.date, h.fund, h.id FROM sp JOIN dz ON dz.date BETWEEN sp.snap AND sp.until JOIN h ON h.fund = sp.fund AND h.snap = sp.snap""")
-def j8_sk13_holdings_universe_whole(s, d):
+def j8_sk13_holdings_universe(s, d):
     """All holdings, on every trading day from the first to the last ship date."""
     x = read(s, d, "lineitem")
     h = x.select(to_period("l_shipdate", "Q").alias("date"), F.col("l_returnflag").alias("fund"), F.col("l_suppkey").alias("id"))
     return holdings_universe(h, _days_of(s, d, x, "l_shipdate"), "fund", "id")
 
 
-_MEMB = f"""{_DAYS}, iv AS (SELECT o_custkey AS id, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS z FROM orders GROUP BY 1),
- mm AS (SELECT dz.date, iv.id FROM iv JOIN dz ON dz.date BETWEEN iv.a AND iv.z)"""
-
-
 def _intervals(s, d):
     x = read(s, d, "orders").withColumn("_d", F.to_date("o_orderdate"))
     return x.groupBy(F.col("o_custkey").alias("id")).agg(F.min("_d").alias("from"), F.max("_d").alias("thru"))
 
 
-@query(f"WITH {_MEMB} SELECT date, id FROM mm")
-def j9_interval_members(s, d):
-    return members_by_interval(_intervals(s, d), calendar(s, d).where("date BETWEEN '1995-01-01' AND '1996-12-31'"), "id")
-
-
-@query(f"""WITH {_MEMB}, x AS (SELECT o_custkey AS id, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1, 2)
- SELECT mm.date, mm.id, x.total FROM mm LEFT JOIN x ON x.id = mm.id AND x.date = mm.date""")
-def j10_adjust_for_membership(s, d):
-    a = MembershipAdjuster(s, "id")
-    a.add_universe_info(_intervals(s, d), "1995-01-01", "1996-12-31", calendar(s, d))
-    data = read(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("date"), F.col("o_custkey").alias("id"))
-    return a.adjust_data_for_membership(data.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")))
-
-
 _ORDERED = "(SELECT CAST({}(o_orderdate) AS DATE) FROM orders)"
 _MEMB_ALL = f"""dz AS (SELECT trading_days AS date FROM trading_cal WHERE trading_days BETWEEN {_ORDERED.format("min")} AND {_ORDERED.format("max")}),
  iv AS (SELECT o_custkey AS id, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS z FROM orders GROUP BY 1),
@@ -407,14 +361,14 @@ _MEMB_ALL = f"""dz AS (SELECT trading_days AS date FROM trading_cal WHERE tradin
 
 
 @query(f"WITH {_MEMB_ALL} SELECT date, id FROM mm")
-def j9_interval_members_whole(s, d):
+def j9_interval_members(s, d):
     """Memberships over the whole range of the orders."""
     return members_by_interval(_intervals(s, d), _days_of(s, d, read(s, d, "orders"), "o_orderdate"), "id")
 
 
 @query(f"""WITH {_MEMB_ALL}, x AS (SELECT o_custkey AS id, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1, 2)
  SELECT mm.date, mm.id, x.total FROM mm LEFT JOIN x ON x.id = mm.id AND x.date = mm.date""")
-def j10_adjust_for_membership_whole(s, d):
+def j10_adjust_for_membership(s, d):
     """Order totals of every member day over the whole range of the orders."""
     orders = read(s, d, "orders").withColumn("_d", F.to_date("o_orderdate"))
     lo, hi = orders.agg(F.min("_d"), F.max("_d")).first()
@@ -425,17 +379,9 @@ def j10_adjust_for_membership_whole(s, d):
     return a.adjust_data_for_membership(data.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")))
 
 
-@query(f"""WITH {_STC} SELECT u.date, u.permno, st.prc FROM (SELECT date, permno FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20 AND date > '2024-03-01' AND date < '2024-08-01') u
- LEFT JOIN st ON st.date = u.date AND st.permno = u.permno""")
-def j11_j12_long_universe(s, d):
-    a = MembershipAdjuster(s, "permno")
-    a.add_universe_info_from_db("TOP_20", q(s, d).universes, "2024-03-01", "2024-08-01")
-    return a.adjust_data_for_membership(crsp(s, d, "prc").select("date", "permno", "prc"))
-
-
 @query(f"""WITH {_STC} SELECT u.date, u.permno, st.prc FROM (SELECT date, permno FROM temp_rank_crsp_mc WHERE ttm_mc_rank <= 20 AND date > {_TOP.format('min')} AND date < {_TOP.format('max')}) u
  LEFT JOIN st ON st.date = u.date AND st.permno = u.permno""")
-def j11_j12_long_universe_whole(s, d):
+def j11_j12_long_universe(s, d):
     """Between the first and the last date of the universe, both excluded, as always with this operator."""
     a, universes = MembershipAdjuster(s, "permno"), q(s, d).universes
     a.add_universe_info_from_db("TOP_20", universes, *_span(universes["TOP_20"]))
@@ -880,10 +826,8 @@ def t3_backtest_report(s, d):
 @query(f"""WITH {_AL}, {_GRP} SELECT 'average' AS kind, CAST(ntile AS BIGINT) AS ntile, grp, round(avg(tilt), 6) AS tilt FROM ti GROUP BY 2, 3
  UNION ALL SELECT 'long short', NULL, grp, round(avg(tilt), 6) FROM (SELECT date, grp, sum(CASE WHEN ntile = 1 THEN tilt ELSE -tilt END) AS tilt FROM ti WHERE ntile IN (1, {N}) GROUP BY 1, 2) GROUP BY 3""")
 def t2_t9_report_tilts(s, d):
-    """Tilts come with a group map and either flag; without the map there are none."""
     n, f = _report(s, d)
     out = n.full_tear(f, N, HP, show_ntile_tilts=True)["backtest"]
-    assert "tilts" not in Ntile(n.pricing)._backtest(out["tilts"], N, HP, True, True, False, True)
     a = out["average_tilts"].select(F.lit("average").alias("kind"), F.col("ntile").cast("long").alias("ntile"), "grp", "tilt")
     b = out["average_long_short_tilts"].select(F.lit("long short").alias("kind"), F.lit(None).cast("long").alias("ntile"), "grp", "tilt")
     return r6(a.unionByName(b), "tilt")
@@ -946,9 +890,11 @@ _CLOSED = ", ".join(f"'{x}'" for x in SPECIAL_CLOSINGS)
  gf AS (SELECT CAST(make_date(y, k // 31, k % 31 + 1) - INTERVAL 2 DAY AS DATE) AS d FROM c),
  el AS (SELECT CAST(make_date(y, 11, 1) + INTERVAL 1 DAY * ((8 - isodow(make_date(y, 11, 1))) % 7 + 1) AS DATE) AS d FROM y WHERE y IN (1976, 1980))
  SELECT trading_days AS date FROM trading_cal WHERE trading_days BETWEEN '1975-01-01' AND '2024-12-31' AND trading_days NOT IN (SELECT d FROM gf) AND trading_days NOT IN (SELECT d FROM el)
+ AND trading_days NOT IN (SELECT make_date(y, 1, 1) + (8 - CAST(isodow(make_date(y, 1, 1)) AS INT)) % 7 + 14 FROM y WHERE y >= 1998)
+ AND trading_days NOT IN (SELECT make_date(y, 6, 19) + CASE isodow(make_date(y, 6, 19)) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END FROM y WHERE y >= 2022)
  AND strftime(trading_days, '%Y-%m-%d') NOT IN ({_CLOSED})""")
 def dt13_exchange_days(s, d):
-    """Exchange days by rule; the delivered calendar holds Good Fridays, election days and unscheduled closings as well."""
+    """Exchange days by rule; the delivered calendar holds Good Fridays, third Mondays of January, 19 June, election days and unscheduled closings as well."""
     return trading_days(s, "1975-01-01", "2024-12-31")
 
 

@@ -58,7 +58,7 @@ def sc8_sk1_to_sk8_ingest(s, d):
     return t.withColumns({"date": F.to_date("date"), "thru": F.to_date("thru")})
 
 
-@query("""SELECT unnest(['orderkey', 'custkey', 'date', 'thru', 'totalprice', 'status', 'nation']) AS "column", unnest(['bigint', 'bigint', 'timestamp', 'timestamp', 'double', 'string', 'bigint']) AS type""")
+@query("""SELECT unnest(['orderkey', 'custkey', 'date', 'thru', 'totalprice', 'status', 'nation']) AS "column", unnest(['bigint', 'bigint', 'timestamp', 'timestamp', 'double', 'string', 'int']) AS type""")
 def sc14_table_columns(s, d):
     return table_info(s, _ingested(s, d)).withColumn("type", F.replace("type", F.lit("_ntz"), F.lit("")))
 
@@ -79,7 +79,7 @@ def sc15_sql_with_parameters(s, d):
 def sc10_sk14_cached_query(s, d):
     """Made by the first call, read from the store by the second."""
     store = Store(s, table_path(s, "store"))
-    x = ref.crsp(s, d, "prc").where("NOT isnan(prc)").groupBy("permno").agg(F.count("*").alias("days"), F.max("prc").alias("prc"))
+    x = ref.crsp(s, d, "prc").where("prc IS NOT NULL AND NOT isnan(prc)").groupBy("permno").agg(F.count("*").alias("days"), F.max("prc").alias("prc"))
     store.cached(x)
     return store.cached(x)
 
@@ -102,7 +102,7 @@ def sc9_sk10_built_universe(s, d):
     return store.built_universe("crsp_us_5_40")
 
 
-_FUND = ref._SQL["j8_sk13_holdings_universe_whole"]
+_FUND = ref._SQL["j8_sk13_holdings_universe"]
 
 
 @query(f"""WITH u AS ({_FUND}) SELECT date, ascii(fund) AS crsp_portno, id AS permno FROM u WHERE fund = 'R' AND date > '1995-06-30' AND date < '2001-06-29'""")

@@ -166,6 +166,15 @@ def test_ntile_skips_null_nan_inf_and_breaks_ties_by_id(spark):
     assert bucket_factor(f.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 5, 7])
+def test_hot_dates_are_split_with_equal_results(spark, buckets):
+    rng = np.random.default_rng(buckets)
+    data = [(D(0), i, float(rng.integers(0, 40))) for i in range(700)] + [(D(1), i, float(rng.normal())) for i in range(60)] + [(D(2), i, 1.0) for i in range(300)]
+    data += [(D(3), i, float(i)) for i in range(3)] + [(D(0), 9000, None), (D(0), 9001, float("nan")), (D(1), 9002, float("inf"))]
+    f = spark.createDataFrame(data, "date date, id int, factor double")
+    assert rows(bucket_factor(f, buckets, part=50)) == rows(bucket_factor(f, buckets)) and len(rows(bucket_factor(f, buckets))) == 1063
+
+
 def test_weights_and_returns_by_hand(spark):
     f, r = small(spark)
     a = aligned_panel(bucket_factor(f, 2), r)

@@ -37,7 +37,7 @@ def test_holdings_of_any_quantity_and_year(spark, tmp_path):
         for fund in "AN":
             last = max((q for q, f, _ in held if f == fund and q <= day), default=None)
             want += [(day, fund, i) for q, f, i in held if f == fund and q == last]
-    assert rows(entry.queries()["j8_sk13_holdings_universe_whole"](spark, d), "date", "fund", "id") == sorted(want)
+    assert rows(entry.queries()["j8_sk13_holdings_universe"](spark, d), "date", "fund", "id") == sorted(want)
 
 
 def test_members_and_totals_after_1996(spark, tmp_path):
@@ -46,8 +46,8 @@ def test_members_and_totals_after_1996(spark, tmp_path):
     d = tables(spark, tmp_path, orders=(orders, "o_custkey long, o_orderdate timestamp, o_totalprice double"), trading_cal=([(x,) for x in days if x.weekday() < 5], "trading_days date"))
     spans = {1: (dt.date(1995, 3, 1), dt.date(1997, 1, 3)), 2: (dt.date(1999, 8, 2), dt.date(1999, 8, 5))}
     want = sorted((day, i) for i, span in spans.items() for day in every_day(*span) if day.weekday() < 5)
-    assert rows(entry.queries()["j9_interval_members_whole"](spark, d), "date", "id") == want
-    x = entry.queries()["j10_adjust_for_membership_whole"](spark, d)
+    assert rows(entry.queries()["j9_interval_members"](spark, d), "date", "id") == want
+    x = entry.queries()["j10_adjust_for_membership"](spark, d)
     assert rows(x, "date", "id") == want
     assert rows(x.where("total IS NOT NULL"), "date", "id", "total") == [
         (dt.date(1995, 3, 1), 1, 5.0), (dt.date(1997, 1, 3), 1, 7.5), (dt.date(1999, 8, 2), 2, 3.25), (dt.date(1999, 8, 5), 2, 4.0),
@@ -80,16 +80,16 @@ def test_universe_over_the_whole_year(spark, tmp_path):
     daily = [(x, i, -4.0, 2.0, 2.0, 3.0, 11, T(2025, 2, 1)) for x in (dt.date(2024, 1, 2), a, b, c) for i in (1, 2)]
     d = daily_tables(spark, tmp_path, daily, [(a, 1, 1), (b, 1, 20), (c, 1, 3), (b, 2, 21)])
     run = lambda name, *cols: rows(entry.queries()[name](spark, d), *cols)
-    assert run("sc1_sc6_adjusted_scan_of_universe_whole", "date", "permno", "prc", "shrout") == [(x, 1, 2.0, 6.0) for x in (dt.date(2024, 1, 2), a, b, c)]
-    assert run("sc3_universe_scan_whole", "date", "permno") == [(a, 1), (b, 1), (c, 1)]
-    assert run("j11_j12_long_universe_whole", "date", "permno", "prc") == [(b, 1, -4.0)]
+    assert run("sc1_sc6_adjusted_scan_of_universe", "date", "permno", "prc", "shrout") == [(x, 1, 2.0, 6.0) for x in (dt.date(2024, 1, 2), a, b, c)]
+    assert run("sc3_universe_scan", "date", "permno") == [(a, 1), (b, 1), (c, 1)]
+    assert run("j11_j12_long_universe", "date", "permno", "prc") == [(b, 1, -4.0)]
 
 
 def test_asset_list_of_all_ids(spark, tmp_path):
     day = dt.date(2024, 1, 2)
     daily = [(day + dt.timedelta(k), i, i + k / 2, 1.0, 1.0, 1.0, 11, T(2024, 2, 1)) for i in range(1200) for k in (0, 1)]
     d = daily_tables(spark, tmp_path, daily, [])
-    assert rows(entry.queries()["sc7_j1_asset_list_whole"](spark, d), "date", "permno", "prc") == sorted(x[:3] for x in daily)
+    assert rows(entry.queries()["sc7_j1_asset_list"](spark, d), "date", "permno", "prc") == sorted(x[:3] for x in daily)
 
 
 def test_fund_with_many_names_is_still_ambiguous(spark):
