@@ -26,6 +26,8 @@ def get_spark(app: str = "panelmill", master: str | None = None, **conf: str) ->
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # some operators run many short steps: their generated code is kept, not compiled anew on every call
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
     )
     if master:
         b = b.master(master)
