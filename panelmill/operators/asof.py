@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from panelmill.session import let_workers_import
+
 OPEN_END = "9999-12-30"
 
 
@@ -95,6 +97,7 @@ def change_histories(
         e, k, p, v = zip(*out)
         return pd.DataFrame({entity: e, "attribute": [names[i] for i in k], "since": p, "value": v})
 
+    let_workers_import(intervals.sparkSession)
     return clean.mapInPandas(run, schema)
 
 

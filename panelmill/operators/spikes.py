@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from panelmill.session import let_workers_import
+
 MAD = 1.4826
 
 
@@ -125,6 +127,7 @@ def flag_readings(
         if held and rows:
             yield from _flag(pa.concat_tables(held), source, date, names, fields, block, far, longest)
 
+    let_workers_import(df.sparkSession)
     return part.mapInArrow(run, schema)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from panelmill.functions.numeric import rounded
 from panelmill.operators.returns import cumulative
+from panelmill.session import let_workers_import
 
 
 def sharpe(ret: Column, ann: int) -> Column:
@@ -84,6 +85,7 @@ def per_series(series: DataFrame, name: str, func: Callable) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"series": [pdf["series"].iloc[0]], name: [float(func(pdf.sort_values("date")["ret"]))]})
 
+    let_workers_import(series.sparkSession)
     return series.groupBy("series").applyInPandas(run, f"series string, `{name}` double")
 
 
