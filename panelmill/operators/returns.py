@@ -7,26 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from panelmill.functions.numeric import finite
-from panelmill.operators.panel import dense_grid, positions
+from panelmill.operators.panel import positions
 from panelmill.session import fetched
 
 LOWEST, HIGHEST = -0.75, 1.5
 
 
 def simple_returns(prices: DataFrame) -> DataFrame:
-    """(date, id, ret, pos) from (date, id, price): dense over all dates and ids from the second date on.
+    """(date, id, ret, pos) from (date, id, price), at most one row per (date, id): dense over all dates and ids from the second date on.
 
     A gap carries the last price forward, so its return is 0 and the move falls on the day prices resume.
     Missing and infinite returns become 0; the rest is clipped to [-0.75, 1.5]. pos numbers the dates from 1 for
-    the first date of all. Partitioned by id; one id's rows are bounded by the dates.
+    the first date of all.
+
+    The dates are fetched once. Rows are windowed by id and each is exploded over the dates up to the id's next row (the
+    first one also back to the first date), so the dense rows need no join with a grid; an id's rows are bounded by the dates.
     """
-    p = prices.select("date", "id", finite(F.col("price").cast("double")).alias("price"))
+    p = prices.where("id IS NOT NULL").select("date", "id", finite(F.col("price").cast("double")).alias("price"))
+    days = fetched(positions(p))
     w = W.partitionBy("id").orderBy("pos")
-    g = dense_grid(p, p).join(p, ["id", "date"], "left")
-    px = F.last("price", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    g = g.withColumn("_px", px).withColumn("_r", F.try_divide(F.col("_px"), F.lag("_px").over(w)) - 1)
-    r = F.coalesce(finite("_r"), F.lit(0.0))
-    return g.where("pos > 1").select("date", "id", F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), r)).alias("ret"), "pos")
+    x = p.join(days, "date").withColumn("_px", F.last("price", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    end = days.agg(F.max("pos")).scalar()
+    x = x.select(
+        "id", F.col("pos").alias("_at"), (F.try_divide(F.col("_px"), F.lag("_px").over(w)) - 1).alias("_r"),
+        F.when(F.lag("pos").over(w).isNull(), 1).otherwise(F.col("pos")).alias("_from"), F.coalesce(F.lead("pos").over(w) - 1, end).alias("_to"),
+    )
+    g = x.where("_from <= _to").select("id", "_at", "_r", F.explode(F.sequence("_from", "_to")).alias("pos")).where("pos > 1").join(days, "pos")
+    r = F.coalesce(F.when(F.col("pos") == F.col("_at"), finite("_r")), F.lit(0.0))
+    return g.select("date", "id", F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), r)).alias("ret"), "pos")
 
 
 def forward_returns(returns: DataFrame, hp: int) -> DataFrame:

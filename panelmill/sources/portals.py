@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.functions.dates import annualization
+from panelmill.functions.dates import annualization, to_period
 from panelmill.operators.panel import positions
 from panelmill.operators.returns import simple_returns
 from panelmill.session import written
@@ -40,7 +40,8 @@ class BasePortal:
 
 
 class PricingPortal(BasePortal):
-    """Returns of assets: adjusted prices of the table on exchange days, missing prices left out, then simple returns."""
+    """Returns of assets: adjusted prices of the table on exchange days, missing prices left out, at a frequency other than daily the
+    last of each period, then simple returns."""
 
     name = "pricing"
 
@@ -51,7 +52,9 @@ class PricingPortal(BasePortal):
             # days without a price would be dropped again: the calendar only selects
             q = q._with(q.df.join(q.calendar_days(calendar), "date", "left_semi"))
         self.freq, self.id = freq, search_by
-        prices = (q.set_freq(freq) if freq != "D" else q).df.select("date", F.col(search_by).alias("id"), F.col(field).alias("price"))
+        prices = q.df.select("date", F.col(search_by).alias("id"), F.col(field).alias("price"))
+        if freq != "D":  # the last price of a period
+            prices = prices.groupBy(to_period("date", freq).alias("date"), "id").agg(F.max_by("price", "date").alias("price"))
         # written once: ids, dates and prices of the grid of returns are read from it
         self.prices = written(prices, "prices")
         self.returns = simple_returns(self.prices)

@@ -720,3 +720,36 @@ def test_reports_survive_the_next_report_until_cleared(spark):
     assert first.count() == 3 and n._held.paths
     n.clear()
     assert not n._held.paths
+
+
+def test_simple_returns_against_a_dense_grid(spark):
+    rng = np.random.default_rng(11)
+    data = []
+    for i in range(12):
+        for k in sorted(rng.choice(30, int(rng.integers(1, 25)), replace=False).tolist()):
+            u = rng.random()
+            data.append((D(k), i, None if u < 0.1 else float("nan") if u < 0.15 else float("inf") if u < 0.2 else 0.0 if u < 0.22 else float(rng.lognormal(0, 0.6))))
+    data += [(D(3), 99, None), (None, 1, 1.0), (D(50), None, 1.0)]
+    days = sorted({d for d, i, _ in data if d is not None and i is not None})
+    want = {}
+    for i in {i for d, i, _ in data if d is not None and i is not None}:
+        mine, last, before = {d: p for d, j, p in data if j == i}, None, None
+        for n, d in enumerate(days):
+            p = mine.get(d)
+            before, last = last, p if p is not None and np.isfinite(p) else last
+            if n:
+                r = last / before - 1 if last is not None and before else 0.0
+                want[d, i] = (min(1.5, max(-0.75, r)), n + 1)
+    got = simple_returns(spark.createDataFrame(data, "date date, id int, price double"))
+    rows_ = got.collect()
+    assert len(rows_) == len(want)
+    wrong = [(r, want.get((r["date"], r["id"]))) for r in rows_ if (pytest.approx(r["ret"]), r["pos"]) != want.get((r["date"], r["id"]))]
+    assert not wrong, (len(wrong), wrong[:4])
+    assert simple_returns(spark.createDataFrame([], "date date, id int, price double")).count() == 0
+
+
+def test_monthly_portal_takes_the_last_price_of_a_month(spark):
+    t = spark.createDataFrame([(dt.date(2010, m, k), 1, 10.0 * m + k, 1.0) for m in (1, 2, 3) for k in (4, 20, 11)], "date date, permno int, prc double, cfacpr double")
+    p = PricingPortal(Query(spark, {"crsp.sd": t}), "*", "permno", "2010-01-01", "2010-12-31", freq="M", calendar=None)
+    assert rows(p.prices) == sorted([(dt.date(2010, m, 1), 1, 10.0 * m + 20) for m in (1, 2, 3)], key=str)
+    assert [r["ret"] for r in p.returns.orderBy("date").collect()] == pytest.approx([40 / 30 - 1, 50 / 40 - 1])
