@@ -20,20 +20,31 @@ def bucket_counts(aligned: DataFrame) -> DataFrame:
     return aligned.where("ntile IS NOT NULL").groupBy("date", "ntile").agg(F.count("*").alias("n"))
 
 
+def _members(aligned: DataFrame, hp: int, counted: DataFrame | None = None) -> DataFrame:
+    """Rows of aligned in a bucket, with w, a member's weight on each of the hp dates from its own on. counted: the panel in
+    which members are counted, if not this."""
+    # counts are partial aggregates, a row per date and bucket: no bucket is gathered in a task to be counted
+    n = fetched(bucket_counts(aligned if counted is None else counted))
+    return aligned.where("ntile IS NOT NULL").join(n, ["date", "ntile"]).withColumn("w", 1 / (F.col("n") * hp)).drop("n")
+
+
+def member_weights(aligned: DataFrame, hp: int) -> DataFrame:
+    """(pos, id, ntile, weight): one row for each membership and each of the hp date positions it lasts, from position hp on.
+
+    Sums over it are those over bucket_weights, but need no exchange by id first. The last position bounds the explosion.
+    """
+    last = aligned.agg(F.max("pos")).scalar()
+    m = _members(aligned, hp).select("pos", "id", "ntile", F.col("w").alias("weight")).withColumn("_last", F.least(F.col("pos") + (hp - 1), last))
+    return m.select("id", "ntile", "weight", F.explode(F.sequence("pos", "_last")).alias("pos")).where(F.col("pos") >= hp).select("pos", "id", "ntile", "weight")
+
+
 def bucket_weights(aligned: DataFrame, hp: int) -> DataFrame:
     """(pos, id, ntile, weight): each id's share of each bucket on each date position from hp on.
 
     A date's members weigh 1 / (members * hp) on that and the following hp - 1 positions; weights of overlapping
-    starts add up. Each membership is exploded to its hp positions and summed: rows * hp, no dense grid. The
-    last position bounds the explosion.
+    starts add up. Each membership is exploded to its hp positions and summed: rows * hp, no dense grid.
     """
-    last = aligned.agg(F.max("pos")).scalar()
-    # counts are partial aggregates, a row per date and bucket: no bucket is gathered in a task to be counted
-    n = fetched(bucket_counts(aligned))
-    m = aligned.where("ntile IS NOT NULL").select("date", "pos", "id", "ntile").join(n, ["date", "ntile"]).withColumn("w", 1 / (F.col("n") * hp))
-    m = m.withColumn("_last", F.least(F.col("pos") + (hp - 1), last))
-    at = m.select("id", "ntile", "w", F.explode(F.sequence("pos", "_last")).alias("pos")).where(F.col("pos") >= hp)
-    return at.groupBy("pos", "id", "ntile").agg(F.sum("w").alias("weight"))
+    return member_weights(aligned, hp).groupBy("pos", "id", "ntile").agg(F.sum("weight").alias("weight"))
 
 
 def bucket_returns(aligned: DataFrame, hp: int, buckets: int, freq: str) -> DataFrame:
@@ -41,10 +52,16 @@ def bucket_returns(aligned: DataFrame, hp: int, buckets: int, freq: str) -> Data
 
     The zero row stands at the position before the first one, or a period before the first date for hp = 1. A
     bucket without members has return 0.
+
+    An id's returns of the hp positions from a date on are gathered over one window by id; each membership then gives
+    its weighted returns to these positions, summed map-side to a row per position and bucket. So the panel is shuffled
+    once, by id, whatever hp is.
     """
-    w = bucket_weights(aligned, hp)
+    w = W.partitionBy("id").orderBy("pos").rangeBetween(0, hp - 1)
+    ahead = aligned.select("date", "pos", "id", "ntile", F.collect_list(F.struct("pos", "ret")).over(w).alias("_ahead"))
+    each = _members(ahead, hp, aligned).select("ntile", "w", F.explode("_ahead").alias("_a")).select("ntile", "w", "_a.pos", "_a.ret").where(F.col("pos") >= hp)
+    r = each.groupBy("pos", "ntile").agg(F.sum(F.col("w") * F.col("ret")).alias("ret"))
     dates = positions(aligned)
-    r = w.join(aligned.select("pos", "id", "ret"), ["pos", "id"]).groupBy("pos", "ntile").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
     every = dates.where(F.col("pos") >= hp).select("date", "pos", F.explode(F.sequence(F.lit(1), F.lit(buckets))).alias("ntile"))
     body = every.join(r, ["pos", "ntile"], "left").select("date", "ntile", F.coalesce("ret", F.lit(0.0)).alias("ret"))
     zero = zero_date(dates, hp, freq).select("date", F.explode(F.sequence(F.lit(1), F.lit(buckets))).alias("ntile"), F.lit(0.0).alias("ret"))
@@ -103,7 +120,7 @@ def group_shares(groups: DataFrame, ids: DataFrame) -> DataFrame:
 def group_tilts(weights: DataFrame, dates: DataFrame, groups: DataFrame, shares: DataFrame) -> DataFrame:
     """(date, ntile, grp, tilt): weight of each group in a bucket less the group's share of the universe.
 
-    weights: (pos, id, ntile, weight). Every group of the universe appears on every date and bucket that has
+    weights: (pos, id, ntile, weight), of member_weights or bucket_weights. Every group of the universe appears on every date and bucket that has
     weights; without a member its tilt is minus its share.
     """
     g = weights.join(groups, "id", "left").groupBy("pos", "ntile", F.coalesce(F.col("grp"), F.lit(-1)).alias("grp")).agg(F.sum("weight").alias("weight"))

@@ -448,7 +448,7 @@ def a10_components(s, d):
 
 def _tilts(s, d):
     a, g = pm_aligned(s, d), groups(s, d)
-    return backtest.group_tilts(backtest.bucket_weights(a, HP), positions(a), g, backtest.group_shares(g, a))
+    return backtest.group_tilts(backtest.member_weights(a, HP), positions(a), g, backtest.group_shares(g, a))
 
 
 @query(f"WITH {_AL}, {_GRP} SELECT date, ntile, grp, round(tilt, 6) AS tilt FROM ti")

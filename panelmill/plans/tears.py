@@ -56,7 +56,7 @@ class Ntile:
         }
         if self.group is not None and (show_ntile_tilts or long_short):
             share = backtest.group_shares(self.group.groups, a)
-            tilts = backtest.group_tilts(out["weights"], positions(a), self.group.groups, share)
+            tilts = backtest.group_tilts(backtest.member_weights(a, hp), positions(a), self.group.groups, share)
             if show_ntile_tilts:
                 out |= {"tilts": tilts, "average_tilts": backtest.average_tilts(tilts)}
             if long_short:
