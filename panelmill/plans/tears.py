@@ -20,8 +20,8 @@ class Ntile:
 
     pricing: an object with .returns (date, id, ret, dense) and .freq; groups: one with .groups (id, grp). Every
     method returns {report: {output: DataFrame}}; outputs run when they are asked for. Before that only the input checks
-    run, and the bucketed and the aligned panel are written where a report has them: all its outputs read these files,
-    which clear() deletes.
+    run, and the bucketed and the aligned panel and the series of returns are written where a report has them: all its
+    outputs read these files, which clear() deletes.
     """
 
     def __init__(self, pricing_portal, group_portal=None):
@@ -47,7 +47,8 @@ class Ntile:
 
     def _backtest(self, a: DataFrame, buckets: int, hp: int, long_short: bool, market_neutral: bool, show_uni: bool, show_ntile_tilts: bool) -> dict:
         ann = annualization(self.pricing.freq)
-        s = backtest.series_returns(a, hp, buckets, self.pricing.freq, long_short, market_neutral, show_uni)
+        with self._held:  # a row per date and series, from which all outputs of returns follow
+            s = written(backtest.series_returns(a, hp, buckets, self.pricing.freq, long_short, market_neutral, show_uni), "series")
         own, spread = s.where(F.startswith("series", F.lit("Ntile"))), s.where(~F.startswith("series", F.lit("Ntile")))
         place = F.expr("try_cast(substring(series, 8) AS INT)")
         out = {
